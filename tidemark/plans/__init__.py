@@ -1,4 +1,6 @@
 """The named queries over the driver's tables, with DuckDB SQL for each that SQL can express."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import commerce, documents, events, links
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "commerce", "documents", "events", "links"]
