@@ -15,7 +15,7 @@ from .registry import query
 # The report's week, and the four weeks before it.
 START, END, BASE = "2024-01-24", "2024-01-31", "2023-12-27"
 _WEEK = f"ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}'"
-SOURCE = F.get_json_object("props", "$.k")
+
 _SRC = "json_extract_string(props, '$.k')"
 
 _SURGE = f"""SELECT CASE WHEN baseline = 0 THEN 'domain_active' ELSE 'domain_surge' END AS kind, subject, n, baseline, CASE WHEN baseline > 0 THEN n / baseline END AS ratio,
@@ -25,6 +25,10 @@ WHERE (baseline = 0 AND n >= 3) OR (baseline >= 2 AND n >= 2 * baseline AND n >=
 _CLUSTER = f"""SELECT entity, domain, n, n_sources, least(5, n)::INT AS strength FROM (SELECT user_id::VARCHAR AS entity, event_type AS domain, count(*)::BIGINT AS n, count(DISTINCT {_SRC})::BIGINT AS n_sources FROM events WHERE {_WEEK} GROUP BY 1, 2) WHERE n >= 3 AND n_sources >= 2"""
 
 
+def source():
+    return F.get_json_object("props", "$.k")
+
+
 @query(_SURGE)
 def domain_surge(t):
     return trends.surges(t("events"), "event_type", "ts", START, END, BASE)
@@ -32,7 +36,7 @@ def domain_surge(t):
 
 @query(_CLUSTER)
 def entity_cluster_trend(t):
-    return trends.entity_clusters(t("events"), "user_id", "event_type", SOURCE, "ts", START, END)
+    return trends.entity_clusters(t("events"), "user_id", "event_type", source(), "ts", START, END)
 
 
 @query(f"""SELECT kind, subject, n::BIGINT AS n, strength FROM (SELECT kind, subject, n, strength FROM ({_SURGE}) UNION ALL SELECT 'entity_cluster', entity || '/' || domain, n, strength FROM ({_CLUSTER}))""")
@@ -76,17 +80,17 @@ def jerusalem_day_counts(t):
 
 @query(f"""SELECT event_type, count(*)::BIGINT AS n, count(*) FILTER (WHERE value > 50)::BIGINT AS large, round(sum(value), 2) AS total, round(avg(value), 6) AS mean, count(DISTINCT {_SRC})::BIGINT AS sources FROM events GROUP BY event_type""")
 def usage_summary_filter(t):
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("value") > 50, 1)).alias("large"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.count_distinct(SOURCE).alias("sources"))
+    return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("value") > 50, 1)).alias("large"), F.round(F.sum("value"), 2).alias("total"), F.round(F.avg("value"), 6).alias("mean"), F.count_distinct(source()).alias("sources"))
 
 
 @query(f"""SELECT event_type, {_SRC}::BIGINT AS k, count(*)::BIGINT AS n, count(*) FILTER (WHERE value > 50)::BIGINT AS large, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
 def usage_by_two_keys(t):
-    return t("events").groupBy("event_type", SOURCE.cast("long").alias("k")).agg(F.count("*").alias("n"), F.count(F.when(F.col("value") > 50, 1)).alias("large"), F.round(F.avg("value"), 6).alias("mean"))
+    return t("events").groupBy("event_type", source().cast("long").alias("k")).agg(F.count("*").alias("n"), F.count(F.when(F.col("value") > 50, 1)).alias("large"), F.round(F.avg("value"), 6).alias("mean"))
 
 
 @query(f"""SELECT event_id, {_SRC}::BIGINT AS k FROM events WHERE {_SRC} IS NOT NULL""")
 def json_field_extract(t):
-    return t("events").select("event_id", SOURCE.try_cast("long").alias("k")).where("k IS NOT NULL")
+    return t("events").select("event_id", source().try_cast("long").alias("k")).where("k IS NOT NULL")
 
 
 @query("""SELECT user_id, arg_max(event_type, event_id) AS outcome, count(*)::BIGINT AS rounds, max(event_id) AS last_id FROM events GROUP BY user_id""")
@@ -102,7 +106,7 @@ def per_group_cap(t):
 @query(f"""WITH e AS (SELECT user_id, ts::DATE AS day, {_SRC} AS host, value FROM events), c AS (SELECT user_id, day, count(DISTINCT host)::BIGINT AS hosts, max(value) > 90 AS official FROM e GROUP BY user_id, day)
 SELECT user_id, day::VARCHAR AS day, hosts, CASE WHEN hosts >= 2 THEN 'corroborated' WHEN official THEN 'official_primary' ELSE 'single_source' END AS status FROM c""")
 def corroboration_status(t):
-    c = t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_distinct(SOURCE).alias("hosts"), (F.max("value") > 90).alias("official"))
+    c = t("events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_distinct(source()).alias("hosts"), (F.max("value") > 90).alias("official"))
     return c.select("user_id", F.col("day").cast("string").alias("day"), "hosts", F.when(F.col("hosts") >= 2, "corroborated").when(F.col("official"), "official_primary").otherwise("single_source").alias("status"))
 
 
