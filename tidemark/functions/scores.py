@@ -58,3 +58,9 @@ def amounts_close(a: Column, b: Column, share: float = 0.10) -> Column:
     """Within a share of the larger; zero is close to zero only."""
     most = F.greatest(F.abs(a), F.abs(b))
     return F.when((a == 0) | (b == 0), a == b).otherwise(F.abs(a - b) <= share * most)
+
+
+def weighted(parts: tuple[tuple[float, Column], ...]) -> Column:
+    """The sum of weighted parts, held between 0 and 1."""
+    total = sum((weight * part for weight, part in parts[1:]), parts[0][0] * parts[0][1])
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))

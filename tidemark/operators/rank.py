@@ -39,3 +39,8 @@ def first_non_null(df: DataFrame, keys: list[str], order: str, columns: list[str
     """One row per key: least order, number of rows, and each column's first value that isn't null in that order."""
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns]
     return df.groupBy(*keys).agg(F.min(order).alias(order), F.count("*").alias("n"), *first)
+
+
+def first_per(df: DataFrame, keys: list[str], order: list[Column], n: int, nth: str) -> DataFrame:
+    """The first n rows of each key with their place in a column `nth`. Spark limits a key before it is exchanged."""
+    return df.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(nth) <= n)

@@ -1,6 +1,6 @@
 """The named queries over the driver's tables, with DuckDB SQL for each that SQL can express."""
 
-from . import commerce, documents, events, links
+from . import commerce, documents, events, links, records, relational
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "commerce", "documents", "events", "links"]
+__all__ = ["QUERIES", "SQL", "commerce", "documents", "events", "links", "records", "relational"]
