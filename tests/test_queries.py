@@ -1,6 +1,7 @@
 """Every query beside DuckDB's answer to its SQL over the same tables."""
 
 import math
+import os
 from collections import Counter
 from datetime import date, datetime
 from decimal import Decimal
@@ -10,7 +11,7 @@ import pytest
 
 from tidemark import plans
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in the given order: a sum over keys that starts before the exchange, not a window.
-
-    order must end in something unique within a key. Descending parts take numbers or times.
-    """
+    """The first row of each key in the given order, which must end in something unique. Spark limits a key before it is exchanged."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
