@@ -22,7 +22,9 @@ def best_earlier_match(df: DataFrame, key: str, vector: str, threshold: float, b
 
 def nearest(df: DataFrame, query: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k nearest rows of each query vector (a small table: query_id, query_vector), itself left out."""
-    q = F.broadcast(query.limit(1000))  # query vectors of a request, a thousand at most
+    if query.limit(1001).count() > 1000:
+        raise ValueError("more than a thousand query vectors: ask in blocks")
+    q = F.broadcast(query)
     scored = df.join(q, df[key] != q["query_id"]).withColumn("similarity", cosine(F.col(vector), F.col("query_vector"))).where("similarity IS NOT NULL")
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col(key).alias("id"), "rank", "similarity")

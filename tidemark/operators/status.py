@@ -31,6 +31,6 @@ def ancestors(children: DataFrame, start: int, depth: int) -> DataFrame:
     level = children.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).alias("hops"))
     found = level
     for hop in range(1, depth + 1):
-        level = children.join(F.broadcast(level.limit(1000)), (F.col("child") == F.col("node")) & (F.col("node") > 1)).select(F.col("parent").alias("node"), F.lit(hop).alias("hops"))
+        level = children.join(level, (F.col("child") == F.col("node")) & (F.col("node") > 1)).select(F.col("parent").alias("node"), F.lit(hop).alias("hops"))
         found = found.unionByName(level)
     return found

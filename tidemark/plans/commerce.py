@@ -56,14 +56,14 @@ def co_occurrence_pairs(t):
 @query("""SELECT n_name AS country, count(DISTINCT c_custkey)::BIGINT AS customers, count(o_orderkey)::BIGINT AS orders, round(coalesce(sum(o_totalprice), 0), 2) AS total, count(*) FILTER (WHERE o_orderstatus = 'O')::BIGINT AS open FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def country_rollup(t):
     o = t("orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum("o_totalprice").alias("total"), F.count(F.when(F.col("o_orderstatus") == "O", 1)).alias("open"))
-    c = t("customer").join(F.broadcast(t("nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey")).join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     n = lambda x: F.coalesce(F.sum(x), F.lit(0))
     return c.groupBy(F.col("n_name").alias("country")).agg(F.count("*").alias("customers"), n("orders").alias("orders"), F.round(n("total"), 2).alias("total"), n("open").alias("open"))
 
 
 @query("""SELECT country, c_custkey, c_acctbal, place::INT AS place FROM (SELECT n_name AS country, c_custkey, c_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey DESC) AS place FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE place <= 3""")
 def country_top3(t):
-    c = t("customer").join(F.broadcast(t("nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     w = Window.partitionBy("n_name").orderBy(F.col("c_acctbal").desc(), F.col("c_custkey").desc())
     return c.withColumn("place", F.row_number().over(w)).where("place <= 3").select(F.col("n_name").alias("country"), "c_custkey", "c_acctbal", "place")
 
@@ -122,7 +122,7 @@ def cross_source_mergeable(t):
 @query("""SELECT c_custkey, c_name, n_name AS country, coalesce(n, 0)::BIGINT AS orders FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_name ILIKE '%00012%' ORDER BY coalesce(n, 0) DESC, c_name LIMIT 20""")
 def entity_search(t):
     n = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    c = t("customer").where(F.col("c_name").ilike("%00012%")).join(F.broadcast(t("nation").limit(1000)), F.col("c_nationkey") == F.col("n_nationkey")).join(n, "c_custkey", "left")
+    c = t("customer").where(F.col("c_name").ilike("%00012%")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(n, "c_custkey", "left")
     return rank.top(c.select("c_custkey", "c_name", F.col("n_name").alias("country"), F.coalesce("n", F.lit(0)).alias("orders")), 20, F.col("orders").desc(), F.col("c_name"))
 
 

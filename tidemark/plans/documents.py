@@ -129,7 +129,7 @@ def sequential_vector_dedup(t):
 def label_cohesion(t):
     e = t("embeddings")
     first = e.groupBy(F.col("label").alias("l")).agg(F.min_by("embedding", "vec_id").alias("first"))
-    return e.join(F.broadcast(first.limit(10_000)), F.col("label") == F.col("l")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(cosine(F.col("embedding"), F.col("first"))), 6).alias("mean"))
+    return e.join(first, F.col("label") == F.col("l")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(cosine(F.col("embedding"), F.col("first"))), 6).alias("mean"))
 
 
 @query("""WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]+'))) AS term FROM documents WHERE lang = 'en'),

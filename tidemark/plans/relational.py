@@ -78,7 +78,7 @@ def outer_explode(t):
 @query("""SELECT o_orderkey, o_orderdate::TIMESTAMP AS o_orderdate FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand = 'Brand#7' AND l_quantity > 30) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20""")
 def in_subquery_recent(t):
     """The 20 latest orders that hold much of a brand."""
-    brand = F.broadcast(t("part").where("p_brand = 'Brand#7'").select("p_partkey").limit(100_000))
+    brand = t("part").where("p_brand = 'Brand#7'").select("p_partkey")
     keys = t("lineitem").where("l_quantity > 30").join(brand, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.col("l_orderkey").alias("o_orderkey"))
     found = t("orders").join(keys, "o_orderkey", "left_semi").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
     return rank.top(found, 20, F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
