@@ -72,28 +72,30 @@ class Model:
         return score
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic classifier under the non-negative risk of positive and unlabelled rows.
+def fit_nnpu(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (a row for each) and biases of logistic classifiers under the non-negative risk of positive and unlabelled rows.
+
+    x has the rows; `positive` says how much each weighs among the positives, `unlabelled` (a column per classifier) how
+    much it weighs among the unlabelled; every column adds up to 1. The classifiers are fitted side by side, so that a round
+    reads x twice, however many there are.
 
     Risk: prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)). Where the part in max() is negative, the step goes up that
     part instead, which undoes the overfit. Adam, full batches.
     """
-    w, b = np.zeros(positive.shape[1]), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    k = unlabelled.shape[1]
+    theta = np.zeros((x.shape[1] + 1, k))  # the last row has the biases
+    theta[-1] = np.log(prior / (1 - prior))
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    of_p = prior * positive[:, None]
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(positive @ w + b, -40, 40)))
-        u = 1 / (1 + np.exp(-np.clip(unlabelled @ w + b, -40, 40)))
-        negative = -np.log1p(-np.minimum(u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(p, 1 - 1e-12)).mean()
-        from_p, from_u = prior * p / len(p), u / len(u)  # slopes of prior * R_p(-1) and of R_u(-1)
-        if negative >= 0:
-            gp, gu = prior * (p - 1) / len(p) - from_p, from_u
-        else:
-            gp, gu = from_p, -from_u
-        g = np.append(positive.T @ gp + unlabelled.T @ gu + decay * w, gp.sum() + gu.sum())
+        s = 1 / (1 + np.exp(-np.clip(x @ theta[:-1].astype(x.dtype) + theta[-1], -40, 40)))
+        negative = ((of_p - unlabelled) * np.log1p(-np.minimum(s, 1 - 1e-12))).sum(axis=0)
+        from_p, from_u = of_p * s, unlabelled * s  # slopes of prior * R_p(-1) and of R_u(-1)
+        slope = np.where(negative >= 0, of_p * (s - 1) - from_p + from_u, from_p - from_u)
+        g = np.vstack([x.T @ slope.astype(x.dtype) + decay * theta[:-1], slope.sum(axis=0)])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w, b
+        theta = theta - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return theta[:-1].T, theta[-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="toxic") -> Model | None:
@@ -116,9 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label=
     chosen = small(materialize(chosen), MAX_POSITIVE * 2 + MAX_UNLABELLED)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(chosen, "id")
     rows = materialize(rows.select(F.monotonically_increasing_id().alias("nth"), "y", word_set(F.col("text")).alias("words")))
-    held = rows.select("nth", "y", F.explode("words").alias("word")).select("nth", "y", F.explode(features(F.col("word"))).alias("feature"))
-    held = held.groupBy("nth", "y", "feature").agg(F.count("*").alias("n"))
-    per = held.groupBy("feature").agg(F.sum("y").alias("p"), F.count("*").alias("n")).where(F.col("p") >= MIN_TEXTS)
+    # all words of a text stand in one row: each text counts its features itself, and only sums per feature are exchanged
+    rows = rows.select("nth", "y", F.flatten(F.transform("words", features)).alias("features"))
+    per = rows.select("y", F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(F.sum("y").alias("p"), F.count("*").alias("n")).where(F.col("p") >= MIN_TEXTS)
     drawn = rows.agg(F.avg("y")).first()[0] or 0.0
     # by how far a feature's toxic texts exceed what their number would lead to expect, in standard deviations; ties by name
     excess = (F.col("p") - F.lit(drawn) * F.col("n")) / F.sqrt(F.col("n"))
@@ -127,26 +129,22 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label=
     if not ids:
         return None
     sample = rows.select("nth", "y").toPandas().sort_values("nth")  # bounded above
-    cells = held.join(F.broadcast(picked), "feature").select("nth", "feature", "n").toPandas()
+    cells = rows.select("nth", F.explode("features").alias("feature")).join(F.broadcast(picked), "feature").groupBy("nth", "feature").agg(F.count("*").alias("n")).toPandas()
     x = np.zeros((len(sample), len(ids)), dtype=np.float32)
     x[np.searchsorted(sample["nth"].to_numpy(), cells["nth"].to_numpy()), cells["feature"].map(ids).to_numpy()] = np.log1p(cells["n"].to_numpy())
     y = sample["y"].to_numpy()
-    positive, rest = x[y == 1], x[y == 0]
-    if not len(positive):
+    if not (y == 1).any():
         return None
-    if not len(rest):
-        rest = np.zeros((1, x.shape[1]), dtype=np.float32)
-    pairs = []
+    if (y == 1).all():  # nothing unlabelled is at hand: a text without any feature stands for it
+        x, y = np.vstack([x, np.zeros((1, len(ids)), dtype=np.float32)]), np.append(y, 0)
+    positive = (y == 1) / (y == 1).sum()
+    rest = np.flatnonzero(y == 0)
+    # positives taken out of the sample go back in at the rate of the prior: the unlabelled rows follow the corpus
+    unlabelled = np.repeat(prior * positive[:, None], MODELS, axis=1)
     for seed in range(MODELS):
-        own = np.random.default_rng(seed).permutation(len(rest))[: max(1, len(rest) // 2)]
-        # positives taken out of the sample go back in at the rate of the prior: the unlabelled rows follow the corpus
-        pairs.append(fit_nnpu(positive, np.vstack([rest[own], _share(positive, prior, len(own))]), prior))
-    return Model(ids, np.array([w for w, _ in pairs]), np.array([b for _, b in pairs]))
-
-
-def _share(positive: np.ndarray, prior: float, n: int) -> np.ndarray:
-    m = int(round(n * prior / (1 - prior)))
-    return positive[np.arange(m) % len(positive)]
+        own = np.random.default_rng(seed).permutation(rest)[: max(1, len(rest) // 2)]
+        unlabelled[own, seed] = (1 - prior) / len(own)
+    return Model(ids, *fit_nnpu(x, positive, unlabelled, prior))
 
 
 def score(docs: DataFrame, model: Model | None, doc_id="doc_id", text="text") -> DataFrame:
