@@ -17,6 +17,8 @@ KINDS = (
 MIXED = ("mixed", r"[A-Za-z0-9+/_-]{32,}", 0, 32)
 #: A value that this many owners hold is a copied example; with fewer it looks like its owner's own.
 SHARED_OWNERS = 3
+#: So is one in this many different repositories, however few owners they have.
+SHARED_REPOSITORIES = 4
 
 
 def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -52,12 +54,13 @@ def _joined(found: Column) -> Column:
     return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def find_secrets(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repository="lang", shared_owners: int = SHARED_OWNERS) -> DataFrame:
-    """doc_id, counts and digest of the base spans, all spans, and how many values are live or shared, for every row.
+def find_secrets(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repository="lang", shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
+    """doc_id, counts and digest of the base spans, all spans, how many values are live or shared, and the most owners and
+    repositories of any value, for every row.
 
     A repository is a pair (owner, repository column). A candidate's value is hashed; over the whole corpus its different
-    owners and repositories are counted. One that `shared_owners` owners or more hold is a widely copied example (shared),
-    others look live. The method adds mixed spans: long words with digits and both cases that look live and lie in no base
+    owners and repositories are counted. One that `shared_owners` owners or `shared_repositories` repositories hold, or more,
+    is a widely copied example (shared), others look live. The method adds mixed spans: long words with digits and both cases that look live and lie in no base
     span. Base spans always stay.
 
     Null texts count as empty. A null owner is one owner, a null repository one repository of its owner. Repeated rows come
@@ -78,17 +81,19 @@ def find_secrets(docs: DataFrame, doc_id="doc_id", text="text", owner="source",
     holders = hashed.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     holders = holders.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     judged = hashed.join(holders, "hash").select("row", "s", "owners", "repos")
-    live = F.col("owners") < shared_owners
+    live = (F.col("owners") < shared_owners) & (F.col("repos") < shared_repositories)
     is_base = F.col("s.kind") != MIXED[0]
     per = judged.groupBy("row").agg(
         F.sum(F.when(is_base & live, 1).otherwise(0)).alias("n_live"),
         F.sum(F.when(is_base & ~live, 1).otherwise(0)).alias("n_shared"),
         F.collect_list(F.when(~is_base & live, F.col("s"))).alias("added"),
+        F.max("owners").alias("most_owners"),
+        F.max("repos").alias("most_repos"),
     )
     done = found.join(per, "row", "left")
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     every = F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")))
     return done.select(
         "doc_id", *(n(k[0]).alias(f"n_{k[0]}") for k in KINDS), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"),
-        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_shared")),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_shared", "most_owners", "most_repos")),
     )
