@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import let, materialize, small, words
 
-#: Buckets that word unigrams and bigrams are hashed into; also the size of the table of weights.
+#: The least number of buckets that word unigrams and bigrams are hashed into; larger corpora take more, see bucket_count.
 BUCKETS = 1 << 16
 #: Added to each bucket's count, as a share of the mean count of a bucket, in both multinomials.
 SMOOTHING = 0.05
@@ -52,68 +52,86 @@ def repeated_words(hashes: Column, width: int = WINDOW) -> Column:
     return let(hashes, of)
 
 
-def buckets(hashes: Column, n: int = BUCKETS) -> Column:
-    """The buckets of a text's unigrams and bigrams, repeats included."""
+def grams(hashes: Column) -> Column:
+    """64-bit hashes of a text's unigrams and bigrams, repeats included."""
 
     def of(h):
-        two = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.pmod(F.xxhash64(F.get(h, i), F.get(h, i + 1)), F.lit(n)).cast("int"))
-        one = F.transform(h, lambda x: F.pmod(x, F.lit(n)).cast("int"))
-        return F.when(F.size(h) >= 2, F.concat(one, two)).otherwise(one)
+        two = F.transform(F.sequence(F.lit(0), F.size(h) - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))
+        return F.when(F.size(h) >= 2, F.concat(h, two)).otherwise(h)
 
     return let(hashes, of)
 
 
+def bucket_count(different: int) -> int:
+    """The largest power of two up to the number of different n-grams: one or two share a bucket, whatever the corpus."""
+    return max(BUCKETS, 1 << max(different, 1).bit_length() - 1)
+
+
 def duplicate_lines(text: Column | str) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^ \t-\r]"))
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def bucket_weights(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text", n: int = BUCKETS, smoothing=SMOOTHING) -> DataFrame:
-    """One row whose column `weights` holds log p_trusted / p_raw of every bucket.
-
-    Counts run over every n-gram of every document, summed in each task before they are exchanged: a task sends at most n
-    rows. trusted has the ids of trusted documents. Without any trusted n-gram all weights are 0.
-    """
+def gram_counts(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """g, raw, good of every n-gram of every document, summed in each task before they are exchanged. trusted has the ids of trusted documents."""
     ids = small(trusted.select(F.col(trusted.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__trusted", F.lit(1)))
     plain = docs.select(F.col(doc_id).alias("__doc"), word_hashes(text).alias("__h"))
     marked = plain.join(ids, F.col("__doc") == F.col("__id"), "left")
-    grams = marked.select(F.coalesce("__trusted", F.lit(0)).alias("t"), F.explode(buckets(F.col("__h"), n)).alias("b"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
-    # one number per bucket: n rows, whatever the corpus
-    per = docs.sparkSession.range(n).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0, ["raw", "good"])
-    rows = per.agg(F.sort_array(F.collect_list(F.struct("b", "raw", "good"))).alias("c"), F.sum("raw").alias("all_raw"), F.sum("good").alias("all_good"))
-    share = lambda c, total: (c + smoothing * total / n) / (total * (1 + smoothing))
-    weight = lambda x: F.log(share(x["good"], F.col("all_good"))) - F.log(share(x["raw"], F.col("all_raw")))
-    return rows.select(F.when(F.col("all_good") > 0, F.transform("c", weight)).otherwise(F.transform("c", lambda x: F.lit(0.0))).alias("weights"))
+    each = marked.select(F.coalesce("__trusted", F.lit(0)).alias("t"), F.explode(grams(F.col("__h"))).alias("g"))
+    return each.groupBy("g").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
+
+
+def _text_key(text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(1), text).alias("__p"), F.xxhash64(F.lit(2), text).alias("__q")]
+
+
+def text_ratios(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text", n: int | None = None, smoothing=SMOOTHING) -> DataFrame:
+    """__p, __q (hashes of a text) and its ratio: the mean of log p_trusted / p_raw over the buckets of its n-grams.
+
+    The weights are a table that grows with the corpus and meets the n-grams in a join; only three sums come to the driver.
+    Texts without words have no row. Without any trusted n-gram all ratios are 0.
+    """
+    counts = materialize(gram_counts(docs, trusted, doc_id, text))
+    different, all_raw, all_good = counts.agg(F.count("*"), F.coalesce(F.sum("raw"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    n = n or bucket_count(different)
+    bucket = F.pmod(F.col("g"), F.lit(n).cast("long")).alias("b")
+    share = lambda c, total: (F.col(c) + smoothing * total / n) / (total * (1 + smoothing))
+    weight = F.log(share("good", all_good)) - F.log(share("raw", all_raw)) if all_good else F.lit(0.0)
+    weights = counts.groupBy(bucket).agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).select("b", weight.alias("weight"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.select(*_text_key(t), word_hashes(text).alias("__h"))  # keys are made before the rows are multiplied
+    each = keyed.select("__p", "__q", F.explode(grams(F.col("__h"))).alias("g")).select("__p", "__q", bucket)
+    # copies of a text add the same n-grams again, which leaves the mean as it is
+    return each.join(weights.hint("shuffle_hash"), "b").groupBy("__p", "__q").agg(F.avg("weight").alias("ratio"))
 
 
-def quality(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text", n: int = BUCKETS, min_ratio: float = MIN_RATIO, keep: tuple[str, ...] = ()) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text", n: int | None = None, min_ratio: float = MIN_RATIO, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the plain counts, base_failed, the ratio per n-gram and the verdict kept, for every row; then the columns `keep`.
 
     Null texts count as empty: they have no words and fail. Repeated rows are judged alike and each counts in the corpus.
-    A null id is never trusted. An empty table gives no rows. The weights reach the tasks as one value of n numbers.
+    A null id is never trusted. An empty table gives no rows. The number of buckets follows the corpus unless n is given.
     """
-    weights = materialize(bucket_weights(docs, trusted, doc_id, text, n))
+    ratios = text_ratios(docs, trusted, doc_id, text, n)
     t = F.coalesce(F.col(text), F.lit(""))
     counted = lambda x: F.struct(F.size(x).cast("long").alias("n"), F.length(F.array_join(x, "")).cast("long").alias("chars"), F.transform(x, lambda y: F.xxhash64(y)).alias("h"))
     base = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in keep)).alias("__kept") if keep else F.lit(None).cast("int").alias("__kept"),
         F.col(doc_id).alias("doc_id"),
+        *_text_key(t),
         let(words(text), counted).alias("__w"),
         F.length(F.regexp_replace(t, SYMBOLS, "")).cast("long").alias("n_symbols"),
         duplicate_lines(t).alias("n_dup_lines"),
     )
-    base = base.withColumn("__weights", weights.scalar())
-    ratio = let(buckets(F.col("__w.h"), n), lambda b: F.aggregate(b, F.lit(0.0), lambda acc, x: acc + F.get(F.col("__weights"), x)) / F.greatest(F.size(b), F.lit(1)))
-    scored = base.select("__kept", "doc_id", F.col("__w.n").alias("n_words"), F.col("__w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", repeated_words(F.col("__w.h")).alias("n_repeat_words"), ratio.alias("ratio"))
+    scored = base.select("__kept", "doc_id", "__p", "__q", F.col("__w.n").alias("n_words"), F.col("__w.chars").alias("word_chars"), "n_symbols", "n_dup_lines", repeated_words(F.col("__w.h")).alias("n_repeat_words"))
+    scored = scored.join(ratios, ["__p", "__q"], "left").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     judged = scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("ratio") >= min_ratio))
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio"]
     return judged.select(*out, *(["__kept"] if keep else []))
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text", n: int = BUCKETS, min_ratio: float = MIN_RATIO) -> DataFrame:
+def keep_good(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text", n: int | None = None, min_ratio: float = MIN_RATIO) -> DataFrame:
     """The rows of docs that pass, with the columns of docs."""
     judged = quality(docs, trusted, doc_id, text, n, min_ratio, keep=tuple(docs.columns))
     return judged.where("kept").select(*(F.col("__kept")[c].alias(c) for c in docs.columns))
