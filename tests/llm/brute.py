@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import struct
 from collections import Counter, defaultdict
 
 import xxhash
@@ -36,7 +37,8 @@ def components(n, links):
     return [find(parent, i) for i in range(n)]
 
 
-def quality(rows, trusted, n=1 << 16, smoothing=0.05, min_ratio=-0.25):
+def quality(rows, trusted, smoothing=1.0, cut=2.0):
+    n = 4096 * max(2, math.ceil(36 * math.sqrt(sum(len((r["text"] or "").encode()) for r in rows)) / 4096))
     raw, good = Counter(), Counter()
     grams = []
     for r in rows:
@@ -48,6 +50,8 @@ def quality(rows, trusted, n=1 << 16, smoothing=0.05, min_ratio=-0.25):
             good.update(g)
     sums = (sum(good.values()), sum(raw.values()))
     share = lambda c, t: (c + smoothing * t / n) / (t * (1 + smoothing))
+    weight = {b: struct.unpack("f", struct.pack("f", math.log(share(good[b], sums[0])) - math.log(share(raw[b], sums[1]))))[0] for b in raw} if sums[0] else Counter()
+    least = -cut * sum(k * weight[b] for b, k in good.items()) / max(1, sums[0])
     out = []
     for r, g in zip(rows, grams, strict=True):
         text = r["text"] or ""
@@ -60,8 +64,8 @@ def quality(rows, trusted, n=1 << 16, smoothing=0.05, min_ratio=-0.25):
         windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
         covered = {j for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
-        ratio = sum(math.log(share(good[b], sums[0])) - math.log(share(raw[b], sums[1])) for b in g) / max(1, len(g)) if sums[0] else 0.0
-        out.append((r["doc_id"], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed, not failed and ratio >= min_ratio))
+        ratio = sum(weight[b] for b in g) / max(1, len(g))
+        out.append((r["doc_id"], len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), failed, not failed and ratio >= least))
     return out
 
 

@@ -97,6 +97,8 @@ def test_quality(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(t[-1] for t in told)
     assert quality.quality(empty, trusted).count() == 0
     assert quality.quality(docs, trusted.where("false")).where("kept AND ratio = 0").count() == sum(not t[-2] for t in told)
+    columns = ("doc_id", "n_words", "kept", F.round("ratio", 9).alias("ratio"))
+    assert got(quality.quality(docs, trusted), *columns) == got(quality.quality(docs, trusted, array_buckets=0), *columns)
 
 
 def test_simhash(spark, docs, empty):
