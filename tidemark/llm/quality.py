@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, words
+from .common import let, materialize, small, words
 
 #: Word unigrams and bigrams are hashed into about BUCKET_RATE * sqrt(bytes of text) buckets, in whole chunks of CHUNK.
 BUCKET_RATE, CHUNK = 36, 4096
 #: Weights of at most so many buckets (64 MB) reach the tasks as one value; more are a table that the n-grams are joined with.
 ARRAY_BUCKETS = 1 << 24
+#: At most so many ids of trusted documents are broadcast: some 40 bytes each in a task's memory.
+TRUSTED_ROWS = 8_000_000
 #: Added to each bucket's count, as a share of the mean count of a bucket, in both multinomials.
 SMOOTHING = 1.0
 #: Documents go whose mean log ratio is below -CUT times the mean log ratio of the trusted n-grams.
@@ -85,9 +87,9 @@ def duplicate_lines(text: Column | str) -> Column:
 def bucket_counts(docs: DataFrame, trusted: DataFrame, n: int, doc_id="doc_id", text="text") -> DataFrame:
     """b, raw, good of every bucket with an n-gram, summed in each task before they are exchanged. trusted has the ids of trusted documents.
 
-    The planner broadcasts the ids where they are few; else the texts are exchanged once by id, before any word is cut.
+    Up to TRUSTED_ROWS ids are broadcast; beyond, the texts are exchanged once by id, before any word is cut.
     """
-    ids = trusted.select(F.col(trusted.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__trusted", F.lit(1))
+    ids = small(trusted.select(F.col(trusted.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__trusted", F.lit(1)), TRUSTED_ROWS)
     marked = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(ids, F.col("__doc") == F.col("__id"), "left")
     each = marked.select(F.coalesce("__trusted", F.lit(0)).alias("t"), F.explode(buckets(word_hashes(F.col("__text")), n)).alias("b"))
     return each.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
