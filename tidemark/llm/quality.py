@@ -13,6 +13,8 @@ from .common import let, materialize, small, words
 BUCKET_RATE, CHUNK = 36, 4096
 #: Weights of at most so many buckets (64 MB) reach the tasks as one value; more are a table that the n-grams are joined with.
 ARRAY_BUCKETS = 1 << 24
+#: Text that one task counts, where the corpus has as much for each core.
+TASK_BYTES = 1 << 26
 #: At most so many ids of trusted documents are broadcast: some 40 bytes each in a task's memory.
 TRUSTED_ROWS = 8_000_000
 #: Added to each bucket's count, as a share of the mean count of a bucket, in both multinomials.
@@ -84,13 +86,16 @@ def duplicate_lines(text: Column | str) -> Column:
     return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, n: int, doc_id="doc_id", text="text") -> DataFrame:
+def bucket_counts(docs: DataFrame, trusted: DataFrame, n: int, doc_id="doc_id", text="text", tasks: int | None = None) -> DataFrame:
     """b, raw, good of every bucket with an n-gram, summed in each task before they are exchanged. trusted has the ids of trusted documents.
 
+    A task sends a row for every bucket that it meets, so the input is read by no more than `tasks` tasks: larger ones send less.
+
     Up to TRUSTED_ROWS ids are broadcast; beyond, the texts are exchanged once by id, before any word is cut.
     """
     ids = small(trusted.select(F.col(trusted.columns[0]).alias("__id")).where("__id IS NOT NULL").distinct().withColumn("__trusted", F.lit(1)), TRUSTED_ROWS)
-    marked = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(ids, F.col("__doc") == F.col("__id"), "left")
+    texts = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text"))
+    marked = (texts.coalesce(tasks) if tasks else texts).join(ids, F.col("__doc") == F.col("__id"), "left")
     each = marked.select(F.coalesce("__trusted", F.lit(0)).alias("t"), F.explode(buckets(word_hashes(F.col("__text")), n)).alias("b"))
     return each.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good"))
 
@@ -138,8 +143,9 @@ def quality(docs: DataFrame, trusted: DataFrame, doc_id="doc_id", text="text", n
     A null id is never trusted; without any trusted text nothing is rejected by its ratio. An empty table gives no rows. The
     number of buckets follows the bytes of the corpus unless n is given.
     """
-    n = n or bucket_count(docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0))).first()[0])
-    weights, mean = bucket_weights(materialize(bucket_counts(docs, trusted, n, doc_id, text)), n)
+    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0))).first()[0]
+    n, tasks = n or bucket_count(text_bytes), max(2 * docs.sparkSession.sparkContext.defaultParallelism, text_bytes // TASK_BYTES)
+    weights, mean = bucket_weights(materialize(bucket_counts(docs, trusted, n, doc_id, text, tasks)), n)
     t = F.coalesce(F.col(text), F.lit(""))
     counted = lambda x: F.struct(F.size(x).cast("long").alias("n"), F.length(F.array_join(x, "")).cast("long").alias("chars"), F.transform(x, lambda y: F.xxhash64(y)).alias("h"))
     base = docs.select(
