@@ -98,17 +98,19 @@ KINDS = [
 
 
 def secrets(rows):
-    out, found, owners = [], [], defaultdict(set)
+    out, found, owners, repos = [], [], defaultdict(set), defaultdict(set)
     for r in rows:
         text = r["text"] or ""
         base = [(m.start(), i, m.end(), k, m[g]) for i, (k, p, g, least) in enumerate(KINDS) for m in re.finditer(p, text) if len(m[g]) >= least]
         mixed = [(m.start(), 3, m.end(), "mixed", m[0]) for m in re.finditer("[A-Za-z0-9+/_-]{32,}", text) if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]")) and not any(b[0] < m.end() and m.start() < b[2] for b in base)]
         for s in base + mixed:
             owners[s[4]].add(r["source"])
+            repos[s[4]].add((r["source"], r["lang"]))
         found.append((base, mixed))
     said = lambda spans: ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in sorted(spans, key=lambda s: (s[0], s[1], s[2])))
     for r, (base, mixed) in zip(rows, found, strict=True):
-        added = [s for s in mixed if len(owners[s[4]]) < 3]
-        live = sum(len(owners[s[4]]) < 3 for s in base)
+        own = lambda s: len(owners[s[4]]) < 3 and len(repos[s[4]]) < 4
+        added = [s for s in mixed if own(s)]
+        live = sum(map(own, base))
         out.append((r["doc_id"], *(sum(s[3] == k[0] for s in base) for k in KINDS), hashlib.sha256(said(base).encode()).hexdigest(), said(base + added), live, len(base) - live))
     return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import materialize
 
 #: The kinds in their order, each with its pattern, the group that holds the value, and the value's least length.
 KINDS = (
@@ -21,37 +23,37 @@ SHARED_OWNERS = 3
 SHARED_REPOSITORIES = 4
 
 
-def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """The spans of a pattern's leftmost matches that don't overlap: array of (start, end, kind, nth, value), in code points.
+def matches(text: Column, place: int, pattern: str, group: int, least: int, salt: str, fits=lambda v: F.lit(True)) -> Column:
+    """One struct for each of a pattern's leftmost matches that don't overlap, in order, in one pass over the text.
 
-    Places come from the pieces between the matches: a match starts where all pieces and matches before it end.
+    place: the kind's number; gap: characters between the end of the match before and this one; n: its length; hash: salted
+    SHA-256 of its value, null if the value is too short or doesn't fit. No value leaves this function in clear text.
     """
+    pieces, found, values = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), 0), F.regexp_extract_all(text, F.lit(pattern), group)
+    both = F.arrays_zip(F.transform(pieces, F.length).alias("gap"), F.transform(found, F.length).alias("n"), values.alias("value"))
+    hashed = lambda v: F.when((F.length(v) >= least) & fits(v), F.sha2(F.concat(F.lit(salt), v).cast("binary"), 256))
+    made = F.transform(F.filter(both, lambda m: m["n"].isNotNull()), lambda m: F.struct(F.lit(place).alias("place"), m["gap"].alias("gap"), m["n"].alias("n"), hashed(m["value"]).alias("hash")))
+    none = F.array().cast("array<struct<place:int,gap:int,n:int,hash:string>>")
+    return F.when(text.rlike(pattern), made).otherwise(none)
 
-    def of(v):
-        before = F.transform(v["pieces"], lambda p, i: F.length(p) + F.coalesce(F.length(F.get(v["found"], i - 1)), F.lit(0)))
-        starts = F.aggregate(F.slice(before, 1, F.size(v["found"])), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-
-        def rows(starts):
-            made = F.transform(v["found"], lambda m, i: F.struct(F.get(starts, i + 1).alias("start"), (F.get(starts, i + 1) + F.length(m)).alias("end"), F.lit(kind).alias("kind"), F.get(v["values"], i).alias("value")))
-            return F.filter(made, lambda s: F.length(s["value"]) >= least)
-
-        return let(starts, rows)
-
-    matched = F.struct(
-        F.split(text, pattern).alias("pieces"),
-        F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"),
-        F.regexp_extract_all(text, F.lit(pattern), group).alias("values"),
-    )
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")
-    return F.when(text.rlike(pattern), let(matched, of)).otherwise(none)
 
+def _spans(found: DataFrame) -> DataFrame:
+    """row, owner, repo, place, start, end, hash of every match that counts: base spans, and mixed ones outside of them.
 
-def _joined(found: Column) -> Column:
-    """kind:start:end of each span by start, then kind as listed, joined by commas."""
-    order = [k[0] for k in (*KINDS, MIXED)]
-    place = lambda s: F.array_position(F.array(*map(F.lit, order)), s["kind"])
-    keyed = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    A match starts where all gaps and matches of its kind before it end: running sums within a row, so the work follows the
+    number of matches. A row's matches stand in one task, as its text did.
+    """
+    m = found.select("row", "owner", "repo", F.posexplode("matches").alias("nth", "m")).select("row", "owner", "repo", "nth", "m.*").repartition("row")
+    until = Window.partitionBy("row", "place").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    m = m.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(until)).withColumn("start", F.col("end") - F.col("n")).where("hash IS NOT NULL")
+    base = F.col("place") < len(KINDS)
+    # both frames grow with their rows (one runs backwards); a frame that shrinks would be summed anew for every row
+    frame = lambda order: Window.partitionBy("row").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    before = F.max(F.when(base, F.col("end"))).over(frame(F.asc("start")))
+    after = F.min(F.when(base, F.col("start"))).over(frame(F.desc("start")))
+    m = m.withColumn("before", before).withColumn("after", after)
+    outside = F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
+    return m.where(base | outside).select("row", "owner", "repo", "place", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "hash")
 
 
 def find_secrets(docs: DataFrame, doc_id="doc_id", text="text", owner="source", repository="lang", shared_owners: int = SHARED_OWNERS, shared_repositories: int = SHARED_REPOSITORIES) -> DataFrame:
@@ -64,36 +66,34 @@ def find_secrets(docs: DataFrame, doc_id="doc_id", text="text", owner="source",
     span. Base spans always stay.
 
     Null texts count as empty. A null owner is one owner, a null repository one repository of its owner. Repeated rows come
-    back each and count as one owner. An empty table gives no rows. Columns of other names are not read.
+    back each and count as one owner. An empty table gives no rows. Columns of other names are not read. Values are hashed
+    with a salt drawn for this run before anything is written or exchanged.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    mixed = F.filter(spans(t, *MIXED), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]"))
-    found = docs.select(
-        F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(owner).cast("string")), F.lit("")).alias("owner"), F.coalesce(F.concat(F.lit("="), F.col(repository).cast("string")), F.lit("")).alias("repo"),
-        F.concat(*(spans(t, *k) for k in KINDS)).alias("base"), mixed.alias("mixed"),
-    )
-    outside = lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    found = found.withColumn("mixed", F.filter("mixed", outside)).withColumn("row", F.monotonically_increasing_id())
-    found = materialize(found)  # spans only; row ids are fixed by being written
-
-    hashed = found.select("row", "owner", "repo", F.explode(F.concat("base", "mixed")).alias("s")).select("row", "owner", "repo", "s", F.md5(F.col("s.value").cast("binary")).alias("hash"))
+    t, salt = F.coalesce(F.col(text), F.lit("")), uuid.uuid4().hex
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[a-z]") & v.rlike("[A-Z]")
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    every = [matches(t, i, *k[1:], salt) for i, k in enumerate(KINDS)] + [matches(t, len(KINDS), *MIXED[1:], salt, mixed)]
+    found = docs.select(F.col(doc_id).alias("doc_id"), name(owner).alias("owner"), name(repository).alias("repo"), F.concat(*every).alias("matches"))
+    found = materialize(found.withColumn("row", F.monotonically_increasing_id()))  # row ids are fixed by being written
+
+    spans = materialize(_spans(found.where(F.size("matches") > 0)))
     # Three sums, each started before its exchange: a value that a third of all rows hold shrinks to its owners at once.
-    holders = hashed.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
+    holders = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n")).groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     holders = holders.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = hashed.join(holders, "hash").select("row", "s", "owners", "repos")
-    live = (F.col("owners") < shared_owners) & (F.col("repos") < shared_repositories)
-    is_base = F.col("s.kind") != MIXED[0]
+    judged = spans.join(holders, "hash").withColumn("live", (F.col("owners") < shared_owners) & (F.col("repos") < shared_repositories))
+    is_base = F.col("place") < len(KINDS)
+    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
     per = judged.groupBy("row").agg(
-        F.sum(F.when(is_base & live, 1).otherwise(0)).alias("n_live"),
-        F.sum(F.when(is_base & ~live, 1).otherwise(0)).alias("n_shared"),
-        F.collect_list(F.when(~is_base & live, F.col("s"))).alias("added"),
-        F.max("owners").alias("most_owners"),
-        F.max("repos").alias("most_repos"),
-    )
-    done = found.join(per, "row", "left")
-    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    every = F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:string,value:string>>")))
+        *(n(F.col("place") == i).alias(f"n_{k[0]}") for i, k in enumerate(KINDS)), n(is_base & F.col("live")).alias("n_live"), n(is_base & ~F.col("live")).alias("n_shared"),
+        F.max("owners").alias("most_owners"), F.max("repos").alias("most_repos"), F.array_sort(F.collect_list(F.when(is_base | F.col("live"), F.struct("start", "place", "end")))).alias("s"),
+    )
+    names = F.array(*(F.lit(k[0]) for k in (*KINDS, MIXED)))
+    joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", F.get(names, x["place"]), x["start"], x["end"])), ",")
+    per = per.select("row", *(f"n_{k[0]}" for k in KINDS), "n_live", "n_shared", "most_owners", "most_repos", joined(F.filter("s", lambda x: x["place"] < len(KINDS))).alias("base"), joined(F.col("s")).alias("spans"))
+    done = found.select("row", "doc_id").join(per, "row", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    said = lambda c: F.coalesce(c, F.lit(""))
     return done.select(
-        "doc_id", *(n(k[0]).alias(f"n_{k[0]}") for k in KINDS), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(every).alias("spans"),
-        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_live", "n_shared", "most_owners", "most_repos")),
+        "doc_id", *(count(f"n_{k[0]}") for k in KINDS), F.sha2(said("base").cast("binary"), 256).alias("base_sha256"), said("spans").alias("spans"),
+        *(count(c) for c in ("n_live", "n_shared", "most_owners", "most_repos")),
     )
