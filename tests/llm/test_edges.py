@@ -257,3 +257,39 @@ def test_warc_with_magics_inside_members(spark, tmp_path):
     (tmp_path / "b" / "x.warc").write_bytes(whole[:-9])
     with pytest.raises(Exception, match="archive"):
         warc.read_warc(spark, str(tmp_path / "b")).collect()
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    """Usual names, fields in any case, foreign ids, records that are no responses, and small byte ranges."""
+    def made(kind, headers, block):
+        head = ["WARC/1.0", f"warc-type: {kind}", *headers, f"content-length: {len(block)}"]
+        return warc.member("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    body = os.urandom(3000)
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    records = [made("warcinfo", ["WARC-RECORD-ID: <urn:uuid:1>", "Content-Type: application/warc-fields"], b"software: x\r\n\r\nmore")]
+    for i in range(30):
+        records.append(made("request", [f"WARC-Record-ID:<urn:uuid:q{i}>", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\n\r\n"))
+        records.append(made("response", [f"Warc-Record-Id: <urn:uuid:r{i}>", "WARC-Target-URI: <http://h/>", "Content-Type: Application/HTTP;msgtype=response"], http + body[i:]))
+    records.append(made("revisit", ["WARC-Record-ID: <urn:uuid:v>", "WARC-Refers-To: <urn:uuid:r0>", "WARC-Payload-Digest: sha1:ABC", "Content-Type: application/http"], http))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "CC-MAIN-1.warc.gz").write_bytes(b"".join(records))
+    (tmp_path / "in" / "plain.warc").write_bytes(b"".join(records[:1]))
+    told = [("warcinfo", "urn:uuid:1", None, None, 19)] * 2 + [("revisit", "urn:uuid:v", "urn:uuid:r0", None, None)]
+    for i in range(30):
+        told += [("request", f"urn:uuid:q{i}", None, None, 0), ("response", f"urn:uuid:r{i}", None, "http://h/", 3000 - i)]
+    for split in ("128m", "997b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            read = warc.read_warc(spark, str(tmp_path / "in"))
+            assert got(read, "record_type", "page_id", "refers_to", "uri", "payload_bytes") == sorted(told, key=key)
+            assert {r["payload_digest"] for r in read.where("record_type = 'revisit'").collect()} == {"sha1:ABC"}
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_warc_keeps_empty_ids_and_long_payloads(spark, tmp_path):
+    rows = [("", "u", "x" * 200), (None, "u", "y" * 200), ("a b>", None, "long " * 1_000_000)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    found = got(warc.round_trip(df, str(tmp_path / "w")), "page_id", "payload_bytes", "record_type")
+    assert found == sorted([(i, len(t), "response") for i, _, t in rows], key=key)

@@ -3,13 +3,15 @@
 Archives are written by the text writer, whose lines are whole gzip members and whose line separator is an empty one; a file
 is thus plain multi-member gzip. They are read by the text source with the first bytes of a member as separator: each task
 scans its byte range and owns the members that start inside, wherever the files lie. As those bytes can also occur inside
-compressed data, every candidate is proved by decoding it. File names must not end in .gz: Spark would unpack those whole.
+compressed data, every candidate is proved by decoding it. Names do not matter: Spark would unpack a file called .gz as a
+whole, so such files are read under other names, by links of a view file system that exists in the reader's options only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -26,7 +28,7 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY = bytes.fromhex("1f8b080000000000000303000000000000000000")
 #: Records of equal payloads shorter than this are all written in full.
 MIN_REVISIT = 100
-ID = "urn:page:"
+ID, NO_ID = "urn:page:", "urn:no-page"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = "record_type string, page_id string, refers_to string, uri string, payload_bytes long, payload_digest string, payload binary"
@@ -40,7 +42,7 @@ def member(raw: bytes) -> bytes:
 
 def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """A WARC record: a response with its payload, or a revisit that names the response and has the HTTP head only."""
-    name = f"<{ID}{quote(page_id, safe='')}>" if page_id is not None else f"<{ID}>"
+    name = f"<{ID}{quote(page_id, safe='')}>" if page_id is not None else f"<{NO_ID}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}"]
@@ -51,16 +53,26 @@ def record(page_id: str | None, url: str | None, payload: bytes, digest: str, re
 
 
 def parse(raw: bytes) -> tuple:
-    """The FIELDS of a record. A response's digest and length are those of the payload at hand, a revisit's are told."""
+    """The FIELDS of a record of any writer: names of fields in any case, ids other than ours as they stand, without brackets.
+
+    payload is what follows the HTTP head where the content is HTTP, else the whole block. A revisit has none: its digest is
+    the one told (without a sha256 label, others as they stand) and its length that of the HTTP head; null if not told.
+    """
     head, _, block = raw.partition(b"\r\n\r\n")
-    told = dict(re.findall(r"^([A-Za-z-]+): ?(.*)$", head.decode("utf-8", "replace").replace("\r", ""), re.M))
-    block = block[: int(told["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    page = lambda name: unquote(told[name][1 + len(ID) : -1]) or None if name in told else None
-    if told["WARC-Type"] == "revisit":
-        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-        return "revisit", page("WARC-Record-ID"), page("WARC-Refers-To"), told.get("WARC-Target-URI"), size, told["WARC-Payload-Digest"].removeprefix("sha256:"), None
-    return told["WARC-Type"], page("WARC-Record-ID"), None, told.get("WARC-Target-URI"), len(payload), hashlib.sha256(payload).hexdigest(), payload
+    told = {k.lower(): v.strip() for k, v in re.findall(r"^([^\s:]+):(.*)$", head.decode("utf-8", "replace").replace("\r", ""), re.M)}
+    block = block[: int(told.get("content-length") or len(block))]
+
+    def page(name: str) -> str | None:
+        value = told.get(name, f"<{NO_ID}>").removeprefix("<").removesuffix(">")
+        return unquote(value[len(ID) :]) if value.startswith(ID) else None if value == NO_ID else value
+
+    kind, uri = told.get("warc-type"), told.get("warc-target-uri", "").removeprefix("<").removesuffix(">") if "warc-target-uri" in told else None
+    is_http = told.get("content-type", "").lower().replace(" ", "").startswith("application/http")
+    http, _, payload = block.partition(b"\r\n\r\n") if is_http else (b"", b"", block)
+    if kind == "revisit":
+        size = re.search(rb"(?im)^content-length:\s*(\d+)", http)
+        return kind, page("warc-record-id"), page("warc-refers-to"), uri, int(size[1]) if size else None, told.get("warc-payload-digest", "").removeprefix("sha256:") or None, None
+    return kind, page("warc-record-id"), page("warc-refers-to"), uri, len(payload), hashlib.sha256(payload).hexdigest(), payload
 
 
 class Scan:
@@ -89,13 +101,30 @@ class Scan:
         return ("record", text) if text else ("", None)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row of FIELDS for every record in the archives at path; an archive that ends within a record raises.
+def _plainly_named(spark: SparkSession, path: str) -> tuple[list[str], dict[str, str]]:
+    """Paths under which the text source reads the files at path byte by byte, and the options that these paths need.
 
-    Pieces at the borders of byte ranges that a task cannot place (a magic inside compressed data may have been taken for a
-    border) go with their places to a second step, which joins them file by file; they are few, as such magics are.
+    Only names that end like a compressed file's get a link. The list of files is what Spark's own index holds on the driver.
+    """
+    files = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    packed = [f for f in files if re.search(r"\.(gz|bz2|deflate|zst|lz4|snappy)$", f)]
+    if not packed:
+        return [path], {}
+    view = f"warc{uuid.uuid4().hex}"
+    options = {f"fs.viewfs.mounttable.{view}.link./f{i}": f for i, f in enumerate(packed)}
+    plain = [f for f in files if f not in set(packed)]
+    return [f"viewfs://{view}/f{i}" for i in range(len(packed))] + plain, options
+
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row of FIELDS for every record in the archives at path (without payload if that isn't wanted); an archive that ends within a record raises.
+
+    The archives are scanned once, and what was found is written to the shared folder. Pieces at the borders of byte ranges
+    that a task cannot place (a magic inside compressed data may have been taken for a border) go with their places to a
+    second step, which joins them file by file; they are few, as such magics are.
     """
-    lines = spark.read.option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    paths, options = _plainly_named(spark, path)
+    lines = spark.read.options(**options).option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1").text(paths)
     lines = lines.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +161,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    found = lines.mapInArrow(scan, FIELDS + ", file string, start long, nth long, piece binary")
+    fields = names[:7] if payloads else names[:6]
+    found = materialize(lines.mapInArrow(scan, FIELDS + ", file string, start long, nth long, piece binary").select(*fields, *names[7:]))
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
         scanner, rows = Scan(), []
@@ -146,9 +176,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError(f"archive ends within a record: {group['file'].iloc[0]}")
         return pd.DataFrame(rows, columns=names[:7])
 
-    fields = names[:7]
-    border = found.where("piece IS NOT NULL").groupBy("file").applyInPandas(join, FIELDS)
-    return found.where("piece IS NULL").select(*fields).unionByName(border)
+    border = found.where("piece IS NOT NULL").select(*names[7:]).groupBy("file").applyInPandas(join, FIELDS)
+    return found.where("piece IS NULL").select(*fields).unionByName(border.select(*fields))
 
 
 def write_warc(pages: DataFrame, path: str, page_id="page_id", url="url", html="html", min_revisit: int = MIN_REVISIT) -> None:
@@ -179,5 +208,5 @@ def round_trip(pages: DataFrame, path: str, page_id="page_id", url="url", html="
     """Writes the archives to path, then reads them: page_id, payload_bytes, payload_digest, record_type, refers_to of each record."""
     write_warc(pages, path, page_id, url, html, min_revisit)
     kind = dict(pages.dtypes)[page_id]
-    read = read_warc(pages.sparkSession, path)
+    read = read_warc(pages.sparkSession, path, payloads=False)
     return read.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
