@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize
 
 #: Rows that the classifiers are fitted on at most: confirmed toxic ones, and ones taken as unlabelled. Those with the smallest hashes of their ids are taken.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
@@ -24,7 +24,8 @@ REMEMBERED = 400_000
 #: Classifiers whose scores are averaged; each sees another half of the unlabelled texts.
 MODELS = 4
 THRESHOLD = 0.3
-WORD = r"[\p{L}\p{N}_]+"
+#: A word, for the fit and for the scores alike; texts are lower-cased first.
+WORDS = re.compile(r"\w+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -32,9 +33,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def different_words(text: str | None) -> set[str]:
+    return set(WORDS.findall((text or "").lower()))
+
+
 def word_set(text: Column) -> Column:
-    """The different words of a text, lower-cased."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), 0))
+    """The different words of a text; only sampled rows come here."""
+
+    @F.arrow_udf("array<string>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([sorted(different_words(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return of(text)
 
 
 def features(word: Column) -> Column:
@@ -53,7 +64,7 @@ class Model:
 
     def scorer(self) -> Callable[[str | None], float]:
         """A function from a text to its score: the mean of the classifiers' probabilities."""
-        ids, known, cut = self.ids, {}, re.compile(r"\w+").findall
+        ids, known = self.ids, {}
 
         def of(word: str) -> tuple[int, ...]:
             if len(known) >= REMEMBERED:
@@ -64,7 +75,7 @@ class Model:
 
         def score(text: str | None) -> float:
             at: list[int] = []
-            for word in set(cut((text or "").lower())):
+            for word in different_words(text):
                 at += known[word] if word in known else of(word)
             x = np.log1p(np.bincount(np.array(at, dtype=np.int64), minlength=len(ids)))
             return float(np.mean(1 / (1 + np.exp(-np.clip(self.bias + self.weights @ x, -40, 40)))))
@@ -112,12 +123,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label=
     prior = min(0.95, max(1e-4, toxic / n))
     order = F.xxhash64("id", F.lit("fit"))
     yes = known.where("y = 1").withColumn("o", order).orderBy("o", "id").limit(MAX_POSITIVE).select("id", F.lit(1).alias("y"))
-    ids = docs.select(F.col(doc_id).alias("id")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
-    some = ids.withColumn("o", order).orderBy("o", "id").limit(MAX_UNLABELLED + MAX_POSITIVE).select("id", F.lit(0).alias("u"))
+    # an id is one row of the sample however many rows have it: that with the least hash of its text
+    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    per_id = docs.select(F.col(doc_id).alias("id"), text_hash.alias("h")).where(F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.min("h").alias("h"))
+    per_id = materialize(per_id)
+    some = per_id.withColumn("o", order).orderBy("o", "id").limit(MAX_UNLABELLED + MAX_POSITIVE).select("id", F.lit(0).alias("u"))
     chosen = some.join(yes, "id", "full").withColumn("y", F.coalesce("y", F.lit(0))).select("id", "y")
-    chosen = small(materialize(chosen), MAX_POSITIVE * 2 + MAX_UNLABELLED)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(chosen, "id")
-    rows = materialize(rows.select(F.monotonically_increasing_id().alias("nth"), "y", word_set(F.col("text")).alias("words")))
+    chosen = materialize(per_id.join(F.broadcast(materialize(chosen)), "id"))  # at most MAX_UNLABELLED + 2 * MAX_POSITIVE rows, here and below
+    texts = docs.select(F.col(doc_id).alias("id"), text_hash.alias("h"), F.col(text).alias("text")).join(F.broadcast(chosen), ["id", "h"])
+    rows = texts.dropDuplicates(["id", "h"]).select("id", "y", word_set(F.col("text")).alias("words"))
+    rows = materialize(rows.select(F.monotonically_increasing_id().alias("nth"), "y", "words"))
     # all words of a text stand in one row: each text counts its features itself, and only sums per feature are exchanged
     rows = rows.select("nth", "y", F.flatten(F.transform("words", features)).alias("features"))
     per = rows.select("y", F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(F.sum("y").alias("p"), F.count("*").alias("n")).where(F.col("p") >= MIN_TEXTS)
@@ -128,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label=
     ids = {r[0]: i for i, r in enumerate(picked.orderBy("feature").collect())}  # at most MAX_FEATURES
     if not ids:
         return None
-    sample = rows.select("nth", "y").toPandas().sort_values("nth")  # bounded above
+    sample = rows.select("nth", "y").toPandas().sort_values("nth")  # one row an id, and so many ids were chosen
     cells = rows.select("nth", F.explode("features").alias("feature")).join(F.broadcast(picked), "feature").groupBy("nth", "feature").agg(F.count("*").alias("n")).toPandas()
     x = np.zeros((len(sample), len(ids)), dtype=np.float32)
     x[np.searchsorted(sample["nth"].to_numpy(), cells["nth"].to_numpy()), cells["feature"].map(ids).to_numpy()] = np.log1p(cells["n"].to_numpy())
@@ -166,4 +181,9 @@ def score(docs: DataFrame, model: Model | None, doc_id="doc_id", text="text") ->
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="toxic") -> DataFrame:
+    """doc_id, held_out, score and predicted of every row, by classifiers fitted on these rows and labels: see fit() and score().
+
+    Labels of null ids or null classes count for nothing, of repeated labels the larger counts. Rows of one id are one row of the
+    sample; each is scored by its own whole text. Null and empty texts score as no words do. An empty table gives no rows.
+    """
     return score(docs, fit(docs, labels, doc_id, text, label), doc_id, text)
