@@ -16,8 +16,9 @@ from .components import connected_components
 SHINGLE = 3
 HASH_SEED = 42
 MAX_BITS = 3
-#: Bits per segment whose popcounts make the embedding: 1, 2 or 4. Narrow segments give more keys and fewer candidates.
-SEGMENT = 2
+#: Bits per segment whose popcounts make the embedding: 1, 2 or 4. Narrow segments give more keys and fewer candidates, so
+#: two bits are taken up to so many fingerprints, and one bit beyond: both find every link.
+SEGMENT, MANY, NARROW = 2, 1 << 23, 1
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -66,7 +67,7 @@ def popcounts(half: Column, segment: int = SEGMENT) -> Column:
 
 
 def links(fps: DataFrame, segment: int = SEGMENT, max_bits: int = MAX_BITS) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct values of fps.fp that differ in at most max_bits (3 or fewer) bits.
+    """Pairs (a, b), a < b, of distinct values of fps.fp that differ in at most max_bits (3 or fewer, as the docs say) bits; a pair may come twice.
 
     The Manhattan distance of two popcount vectors is at most the number of differing bits. With at most 3, the vectors'
     lower or upper halves are at distance 0 or 1. So every fingerprint stands in the grid cell of each of its halves, and
@@ -85,15 +86,16 @@ def links(fps: DataFrame, segment: int = SEGMENT, max_bits: int = MAX_BITS) -> D
     homes = cells.select("half", F.col("fp").alias("b"), F.col("cell").alias("at"))
     near = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits) & (~F.col("own") | (F.col("a") < F.col("b")))
     found = looks.join(homes, (looks["half"] == homes["half"]) & (looks["at"] == homes["at"]) & near)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def classes(fps: DataFrame, segment: int = SEGMENT, max_bits: int = MAX_BITS) -> DataFrame:
+def classes(fps: DataFrame, segment: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, class) for every distinct fp that has a link; class is the smallest linked fp, read as a signed number."""
+    segment = segment or (SEGMENT if fps.limit(MANY + 1).count() <= MANY else NARROW)
     return connected_components(links(fps, segment, max_bits)).select(F.col("node").alias("fp"), F.col("component").alias("class"))
 
 
-def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", segment: int = SEGMENT, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", segment: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fp (signed long), fingerprint (hex) and component_id of every row.
 
     Equal fingerprints are merged before the join, so a third of all rows may be one text. component_id is the smallest
@@ -108,17 +110,32 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", segment: int
     return fps.join(by_fp, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id="doc_id", text="text", segment: int = SEGMENT, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id="doc_id", text="text", segment: int | None = None, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component, with the columns of docs: that of the smallest id (nulls last), of equal ids any one.
 
-    Rows are first reduced to one per fingerprint, which starts in the reading tasks; only those rows' texts are exchanged.
+    Decisions are made on (id, hash of the text, fingerprint) alone. Texts are exchanged only for rows that come repeatedly
+    with one id and text, and where the rows to go are too many to be broadcast. Null texts count as empty; an empty table
+    gives no rows.
     """
-    fp, row, order = fresh(docs, "fp"), fresh(docs, "row"), fresh(docs, "order")
-    packed = docs.select(fingerprints(F.col(text)).alias(fp), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row))
-    packed = packed.withColumn(order, F.struct(F.col(row)[doc_id].isNull().alias("none"), F.col(row)[doc_id].alias("id"), F.xxhash64(F.col(row)[text]).alias("h")))
-    one = materialize(packed.groupBy(F.col(fp).alias("fp")).agg(F.min_by(row, order).alias("row"), F.min(order).alias("order")))
-    # Only rows whose fingerprint has links can go; that is a narrow table, and often a short one.
-    linked = classes(one.select("fp"), segment, max_bits).join(one.select("fp", "order"), "fp")
-    best = linked.groupBy("class").agg(F.min_by("fp", "order").alias("best"))
-    gone = materialize(linked.join(best, "class").where("fp <> best").select("fp"))
-    return one.join(small(gone), "fp", "left_anti").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    id_, h = fresh(docs, "id"), fresh(docs, "text_hash")
+    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    narrow = materialize(docs.select(F.col(doc_id).alias("id"), text_hash.alias("h"), fingerprints(F.col(text)).alias("fp")))
+    per = materialize(narrow.groupBy("fp", "id", "h").agg(F.count("*").alias("n")))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    first = materialize(per.groupBy("fp").agg(F.min(order).alias("first")))
+    # Only fingerprints with links can lose their first row; that is a narrow table, and often a short one.
+    linked = classes(first.select("fp"), segment, max_bits).join(first, "fp")
+    best = linked.groupBy("class").agg(F.min_by("fp", "first").alias("best"))
+    beaten = linked.join(best, "class").where("fp <> best").select(F.col("fp").alias("beaten"))
+    state = per.join(first, "fp").join(beaten, F.col("fp") == F.col("beaten"), "left")
+    stays = F.col("beaten").isNull() & (order == F.col("first"))
+    odd = state.select("id", "h", F.when(~stays, "gone").when(F.col("n") > 1, "many").alias("state")).where("state IS NOT NULL")
+    odd = materialize(odd)
+    told = small(odd.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("state").alias("__state")))
+    marked = docs.withColumn(h, text_hash).withColumn(id_, F.col(doc_id))
+    marked = marked.join(told, F.col(id_).eqNullSafe(F.col("__id")) & (F.col(h) == F.col("__h")), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = marked.where("__state IS NULL").select(*columns)
+    if odd.where("state = 'many'").limit(1).count():
+        kept = kept.unionByName(marked.where("__state = 'many'").dropDuplicates([id_, h]).select(*columns))
+    return kept
