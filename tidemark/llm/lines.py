@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, small
+from .common import fresh, let, materialize
 
 #: A line goes if more than this share of the host's pages hold it, and at least so many pages.
 MAX_RATIO, MIN_PAGES = 0.05, 5
+#: The lists of boilerplate are broadcast if they hold at most so many lines (8 bytes each); else every host is parted into SALTS.
+BROADCAST_LINES, SALTS = 4_000_000, 16
 
 
 def host_of(url: Column) -> Column:
@@ -47,28 +49,35 @@ def boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio=MAX_RATIO
     return often.where(F.col("n") > max_ratio * F.col("total")).groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio=MAX_RATIO, min_pages=MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio=MAX_RATIO, min_pages=MIN_PAGES, max_broadcast: int = BROADCAST_LINES) -> DataFrame:
     """docs with two more columns at the end: `lines` (how many with a word) and `text` (what stays), under fresh names.
 
     Blank lines stay where they are. Null hosts are one host; a null text counts as empty and becomes empty; repeated rows
     each count as a page. An empty table gives no rows. Lines are compared by 64-bit hashes of their trimmed text.
     """
-    listed = small(materialize(boilerplate(docs, host, text, max_ratio, min_pages)), 100_000)
-    at, bad, total, left = (fresh(docs, c) for c in ("at_host", "bad", "n_lines", "left"))
-    named = listed.select(F.col("host").alias(at + "_"), F.col("lines").alias(bad))
-    marked = docs.withColumn(at, host).withColumn(left, _lines(text))
-    joined = marked.join(named, F.col(at).eqNullSafe(F.col(at + "_")), "left")
+    listed = materialize(boilerplate(docs, host, text, max_ratio, min_pages))
+    at, part, bad, total, left = (fresh(docs, c) for c in ("at_host", "at_part", "bad", "n_lines", "left"))
+    # A few long lists weigh as much as many short ones: what is broadcast is bounded by the lists' lines.
+    weight = listed.agg(F.coalesce(F.sum(F.size("lines") + 8), F.lit(0))).first()[0]
+    few = weight <= max_broadcast
+    named = listed.select(F.col("host").alias(at + "_"), F.col("lines").alias(bad), F.explode(F.sequence(F.lit(0), F.lit(0 if few else SALTS - 1))).alias(part + "_"))
+    # beyond that the pages are exchanged by host; a hot one is parted by its pages' texts
+    salt = F.lit(0) if few else F.pmod(F.xxhash64(text), F.lit(SALTS).cast("long")).cast("int")
+    marked = docs.withColumn(at, host).withColumn(part, salt).withColumn(left, _lines(text))
+    joined = marked.join(F.broadcast(named) if few else named, F.col(at).eqNullSafe(F.col(at + "_")) & (F.col(part) == F.col(part + "_")), "left")
     worded = lambda x: x.rlike(r"[^ \t-\r]")
-    kept = F.filter(left, lambda x: ~worded(x) | ~F.array_contains(F.col(bad), F.xxhash64(_bare(x))))
+    hashes = F.transform(left, lambda x: F.xxhash64(_bare(x)))
+    # one hashed intersection per page; then only the lines it found are looked for
+    kept = let(F.array_intersect(hashes, F.col(bad)), lambda hit: F.when(F.size(hit) == 0, F.col(left)).otherwise(F.filter(left, lambda x: ~worded(x) | ~F.array_contains(hit, F.xxhash64(_bare(x))))))
     n = F.size(F.filter(left, worded)).cast("long")
     stays = F.when(F.col(bad).isNull(), F.col(left)).otherwise(kept)
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), n.alias(total), stays.alias(left))
 
 
-def line_report(pages: DataFrame, page_id="page_id", url="url", html="html", max_ratio=MAX_RATIO, min_pages=MIN_PAGES) -> DataFrame:
+def line_report(pages: DataFrame, page_id="page_id", url="url", html="html", max_ratio=MAX_RATIO, min_pages=MIN_PAGES, max_broadcast: int = BROADCAST_LINES) -> DataFrame:
     """page_id, host, n_lines and n_dropped (lines with a word, before and taken away) and the text that stays, of every page."""
     plain = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    done = drop_boilerplate(plain, host_of(F.col("url")), text_runs(F.col("html")), max_ratio, min_pages)
+    done = drop_boilerplate(plain, host_of(F.col("url")), text_runs(F.col("html")), max_ratio, min_pages, max_broadcast)
     after = F.size(F.filter("left", lambda x: x.rlike(r"[^ \t-\r]"))).cast("long")
     return done.select("page_id", host_of(F.col("url")).alias("host"), "n_lines", (F.col("n_lines") - after).alias("n_dropped"), F.array_join("left", "\n").alias("text"))
 
