@@ -198,18 +198,20 @@ def round_trip(docs: DataFrame, vocabulary: str, doc_id="doc_id", text="text") -
     reads its rows once, holds one batch of texts and a bounded memory of pieces. The file at the path `vocabulary` is
     read by the driver and sent along.
     """
-    told = load(vocabulary)
+    vocab = load(vocabulary)
 
     @F.arrow_udf("n long, ids string, decoded string")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = Coder(told)
+        coder = Coder(vocab)
         for texts in batches:
             n, a, b = [], [], []
+            last = None  # copies that a mix makes of a document stand side by side: the work of the first does for all
             for t in texts.to_pylist():
-                ids = coder.encode(t or "")
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                b.append(hashlib.sha256(coder.decode(ids) if ids else b"").hexdigest())
+                if not n or t != last:
+                    ids, last = coder.encode(t or ""), t
+                    told = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids) if ids else b"").hexdigest())
+                for column, value in zip((n, a, b), told, strict=True):
+                    column.append(value)
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["n", "ids", "decoded"])
 
     done = docs.select(F.col(doc_id).alias("doc_id"), of(F.col(text)).alias("r"))

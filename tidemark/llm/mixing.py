@@ -63,15 +63,16 @@ def _rated(docs: DataFrame, targets: DataFrame, source: str) -> tuple[DataFrame,
 
 
 def _key(doc_id: str, text: str) -> Column:
-    """What a row draws by: its id, or its text if the id is null."""
-    return F.when(F.col(doc_id).isNull(), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).otherwise(F.col(doc_id).cast("string"))
+    """What a row draws by: its id (null: none) and its text, so that rows of one id draw apart as long as their texts differ."""
+    return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def mix_report(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=WEIGHTS, max_repeats=MAX_REPEATS, seed=SEED) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies and taken = copies * size of every row.
 
-    Null texts have size 0; null sources form one source of their own; rows with a null id draw by their text; repeated
-    rows each count and draw alike; an empty table gives no rows. Of other columns nothing is read. The text is read once:
+    Null texts have size 0; null sources form one source of their own; rows with a null id draw by their text alone. Rows
+    that agree in id and text each count and draw alike: where such a group is a large part of a source, its target is missed
+    by up to the group's size. An empty table gives no rows. Of other columns nothing is read. The text is read once:
     sizes go into a narrow table in the shared folder, and only that is summed and joined.
     """
     key = _key(doc_id, text)

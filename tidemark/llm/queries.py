@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, lines, mixing, quality, secrets, sharding, simhash, toxicity, vectors, warc
 from .common import shared_dir, table
 
-#: Folder with the public vocabulary files.
-TOKENIZERS = "/opt/tokenizers"
+#: Folder with the public vocabulary files: that of the installed package, or where such a box keeps them.
+TOKENIZERS = os.path.dirname(find_spec("public_tokenizers").origin) if find_spec("public_tokenizers") else "/opt/tokenizers"
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,11 +60,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}")
 
 
+#: Largest label has few hundred vectors at the driver's sizes: SQL compares all pairs and spreads the smallest id along the links.
+_LINKS = """pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93)"""
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_vectors, op4_toxicity, op5_secrets, op6_bpe, op7_sharding, op8_simhash, op9_lines, op10_warc)}
 
-_SIZES = r"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) AS k FROM documents"
+_SIZES = r"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS k FROM documents"
 
 SQL = {
+    "op3_vectors": f"""
+WITH RECURSIVE {_LINKS},
+reach AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT p.a, r.root FROM pairs p JOIN reach r ON p.b = r.vec_id),
+least AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM pairs GROUP BY a)
+SELECT l.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, l.vec_id = component_id AS kept FROM least l LEFT JOIN n ON l.vec_id = n.vec_id""",
     "op1_mixing": rf"""
 WITH sized AS ({_SIZES}),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
