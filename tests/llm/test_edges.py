@@ -293,3 +293,74 @@ def test_warc_keeps_empty_ids_and_long_payloads(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id string, url string, html string")
     found = got(warc.round_trip(df, str(tmp_path / "w")), "page_id", "payload_bytes", "record_type")
     assert found == sorted([(i, len(t), "response") for i, _, t in rows], key=key)
+
+
+def test_vectors_of_many_lengths(spark):
+    """Twelve lengths, each with its own pair of near vectors; none links with another length."""
+    rows = [(10 * d + i, [1.0 + 0.01 * i * (j % 2) for j in range(d)], 1) for d in range(2, 14) for i in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    told = sorted(((v, 1, v - v % 10, v % 10 == 0) for v, _, _ in rows), key=key)
+    for extra in ({}, {"cell_rows": 1, "block": 1}):
+        assert got(vectors.vector_groups(df, **extra), "vec_id", "n_links", "component_id", "kept") == told
+    one = df.withColumn("label", F.lit("a b"))
+    assert got(vectors.vector_groups(one), "vec_id", "n_links", "component_id", "kept") == told
+
+
+def test_nnpu_and_scores_beside_plain_versions(spark):
+    """The fit against a loop over rows and features; scores against a sum over words."""
+    import math
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, size=(60, 7)).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=60) > 3).astype(int)
+    positive, prior = (y == 1) / (y == 1).sum(), 0.3
+    unlabelled = np.stack([(y == 0) / (y == 0).sum() * 0.7 + prior * positive, np.full(60, 1 / 60)], axis=1)
+    weights, bias = toxicity.fit_nnpu(x, positive, unlabelled, prior, rounds=40)
+    for k in range(2):
+        theta, m, v = [0.0] * 7 + [math.log(prior / (1 - prior))], [0.0] * 8, [0.0] * 8
+        for t in range(1, 41):
+            s = [1 / (1 + math.exp(-(sum(w * float(c) for w, c in zip(theta, row, strict=False)) + theta[7]))) for row in x]
+            loss_minus = sum((unlabelled[i, k] - prior * positive[i]) * -math.log(1 - s[i]) for i in range(60))
+            g = [1e-3 * w for w in theta[:7]] + [0.0]
+            for i in range(60):
+                plus, from_p, from_u = prior * positive[i] * (s[i] - 1), prior * positive[i] * s[i], unlabelled[i, k] * s[i]
+                slope = plus - from_p + from_u if loss_minus >= 0 else from_p - from_u
+                for j in range(8):
+                    g[j] += slope * (float(x[i, j]) if j < 7 else 1.0)
+            for j in range(8):
+                m[j], v[j] = 0.9 * m[j] + 0.1 * g[j], 0.999 * v[j] + 0.001 * g[j] * g[j]
+                theta[j] -= 0.05 * (m[j] / (1 - 0.9**t)) / (math.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
+        assert np.allclose([*weights[k], bias[k]], theta, atol=2e-3), (k, weights[k], theta)
+    model = toxicity.Model({"nast": 0, "nasty$": 1, "ugly$": 2}, np.array([[1.0, 2.0, -0.5], [0.5, 0.0, 3.0]]), np.array([-1.0, -2.0]))
+    text = [(1, "Nasty, NASTY nastier ugly"), (2, None), (3, "ugly " * 50_000), (3, "ugly " * 50_000), (4, "")]
+    got_ = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(text, "doc_id long, text string"), model).collect()}
+    plain = lambda n: sum(1 / (1 + math.exp(-(b + sum(w * math.log1p(c) for w, c in zip(row, n, strict=True))))) for row, b in zip(model.weights, model.bias, strict=True)) / 2
+    assert np.allclose([got_[1], got_[2], got_[3], got_[4]], [plain((2, 1, 1)), plain((0, 0, 0)), plain((0, 0, 1)), plain((0, 0, 0))])
+
+
+def test_toxicity_with_one_id_on_a_third_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 40)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 80)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda x, *a, real=toxicity.fit_nnpu: seen.append(len(x)) or real(x, *a))
+    text = [(i, f"plain {i} words {i % 7}" + (" nasty nastier" if i % 4 == 0 else "")) for i in range(400)] + [(5, f"plain hot {i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(0, 400, 3)], "doc_id long, toxic int")
+    rows = toxicity.toxicity(spark.createDataFrame(text, "doc_id long, text string"), labels).collect()
+    assert len(rows) == 600 and seen and seen[0] <= 160
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in rows) >= 590
+
+
+def test_lines_by_exchange_and_by_broadcast_agree(spark):
+    rows = [(i, f"own {i}\nBoiler {i % 3}\nshared line" + " x" * 10, None if i % 2 else f"h{i % 3}") for i in range(120)] + [(200, "a " * 200_000 + "\nshared line", "h0")]
+    df = spark.createDataFrame(rows, "page_id long, html string, host string").withColumn("url", F.concat(F.lit("http://"), "host", F.lit("/")))
+    columns = ("page_id", "host", "n_lines", "n_dropped", F.md5("text").alias("text"))
+    assert got(lines.line_report(df), *columns) == got(lines.line_report(df, max_broadcast=0), *columns)
+    assert lines.line_report(df).where("n_dropped > 0").count() > 100
+
+
+def test_keep_one_of_repeated_rows(spark):
+    words = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(5)]
+    rows = [(1, words[0])] * 6 + [(2, words[0]), (3, words[1]), (3, words[1]), (None, words[2]), (None, words[2]), (None, words[0]), (7, None), (8, ""), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("ID", F.lit(1))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key) == sorted([(1, words[0]), (3, words[1]), (None, words[2]), (7, None)], key=key)

@@ -15,8 +15,8 @@ from .components import connected_components
 MIN_COSINE = 0.93
 #: The codebook is fitted on at most so many vectors (those with the smallest hash of their values), in so many rounds.
 SAMPLE, ROUNDS = 20_000, 10
-#: One cell for so many vectors of the table, between 2 and MAX_CELLS cells.
-CELL_ROWS, MAX_CELLS = 8192, 1024
+#: One cell for so many vectors of a label and length, as the sample tells; at most MAX_CELLS cells in all.
+CELL_ROWS, MAX_CELLS = 8192, 4096
 #: Rows on each side of one block product.
 BLOCK = 2048
 
@@ -76,10 +76,13 @@ def vector_groups(vectors: DataFrame, vec_id="vec_id", embedding="embedding", la
     """vec_id, n_links, component_id and kept of every row; vectors are compared only within one label that isn't null.
 
     Equal vectors of one label (and one number of components) are merged first, so a third of all rows may be one vector.
-    A vector lives in the cell of its nearest centroid. It visits every other cell whose vectors may be near enough: those
-    on whose side of the halfway plane a vector could lie within the chord of the angle; so no link is lost at a border,
-    and each is counted where the other end lives. Cells with more than `block` rows are cut into blocks, product by
-    product. The codebook is fitted on a bounded sample; everything else covers all rows.
+    A vector lives in the cell of its nearest centroid, in the ring of its angle to it. It visits every other cell whose
+    vectors may be near enough: those on whose side of the halfway plane a vector could lie within the chord of the angle,
+    and there the rings (as wide as the limit) next to its own angle; so no link is lost at a border, and each is
+    counted where the other end lives. Cells with more than `block` rows are cut into blocks, product by product. The
+    codebooks, one for each label and length, are fitted on a bounded sample; a label or length without a place in it is one
+    cell. Everything else covers all rows, of any number of lengths. Vectors that no cells part (all about as far from each
+    other) are compared pair by pair.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do those of a null
     label or of another length. A null vec_id is no one's component_id unless it stands alone (then null, kept). Repeated
@@ -94,16 +97,7 @@ def vector_groups(vectors: DataFrame, vec_id="vec_id", embedding="embedding", la
     merged = all_rows.where("key IS NOT NULL").groupBy("label", "key").agg(F.min("vec_id").alias("first"), F.count("*").alias("rows"), F.first("v").alias("v"))
     merged = materialize(merged.withColumn("id", F.monotonically_increasing_id()))  # ids are fixed by being written
 
-    dims = merged.groupBy("key.dim").count().orderBy(F.desc("count"), "dim").limit(8).collect()  # lengths in use; usually one
-    links = None
-    for dim, n in dims if len(dims) < 8 else []:
-        found = _links_of(merged.where(F.col("key.dim") == dim), n, min_cosine, cell_rows, block)
-        links = found if links is None else links.union(found)
-    if len(dims) == 8:
-        raise ValueError("vectors of more than seven lengths")
-    if links is None:
-        return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    links = materialize(links)
+    links = materialize(_links_of(merged, min_cosine, cell_rows, block))
     degree = links.groupBy("id").agg(F.sum("n").alias("n"))
     groups = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     classed = materialize(merged.select("id", "label", "key", "first", "rows").join(degree, "id", "left").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -115,36 +109,66 @@ def vector_groups(vectors: DataFrame, vec_id="vec_id", embedding="embedding", la
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links_of(merged: DataFrame, n: int, min_cosine: float, cell_rows: int, block: int) -> DataFrame:
-    """(id, n, root) rows of all links among the merged vectors of one length."""
-    k = max(2, min(MAX_CELLS, math.ceil(n / cell_rows)))
-    sample = merged.orderBy("key").limit(SAMPLE).select("v").toPandas()["v"]
-    centroids = spherical_kmeans(units(sample), k)
-    chord = math.sqrt(2 - 2 * min_cosine) + 1e-9
-    apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-18))
+def codebooks(sample: pd.DataFrame, n: int, cell_rows: int = CELL_ROWS) -> dict[tuple, np.ndarray]:
+    """Centroids by (label, length) from a sample (label, v) of n rows; a group of no more than one cell's rows has none."""
+    books, left = {}, MAX_CELLS
+    for (label, dim), rows in sample.groupby([sample["label"], sample["v"].map(len)], sort=True):
+        k = min(left, len(rows), math.ceil(len(rows) / len(sample) * n / cell_rows))
+        if k > 1:
+            books[label, dim] = spherical_kmeans(units(rows["v"]), k)
+            left -= k
+    return books
+
 
-    @F.pandas_udf("home int, visits array<int>")
-    def cells(vectors: pd.Series) -> pd.DataFrame:
-        s = units(vectors) @ centroids.T
-        home = np.argmax(s, axis=1)
+def place(labels: pd.Series, vectors: pd.Series, books: dict[tuple, np.ndarray], min_cosine: float) -> pd.DataFrame:
+    """home and visits of each vector: its own (cell, ring), and all in which a vector near enough may live; of one label and length."""
+    ring = math.acos(min_cosine) + 1e-6  # as wide as the limit: what is near enough lies in the same ring or the next on either side
+    chord = math.sqrt(2 - 2 * min_cosine) + 1e-9
+    homes, visits = [(0, 0)] * len(vectors), [[(0, 0)]] * len(vectors)
+    keys = pd.DataFrame({"label": labels.to_numpy(), "dim": vectors.map(len).to_numpy()})
+    for key, at in keys.groupby(["label", "dim"]).indices.items():
+        centroids = books.get(key)
+        if centroids is None:
+            continue
+        s = np.clip(units(vectors.iloc[at]) @ centroids.T, -1, 1)
+        own, rings = np.argmax(s, axis=1), (np.arccos(s) / ring).astype(np.int64)
+        apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 1e-18))
         # distance to the plane halfway between the home centroid and another, on whose far side the other's vectors lie
-        beyond = (s[np.arange(len(s)), home][:, None] - s) / apart[home]
-        visits = [np.flatnonzero(row) for row in (beyond <= chord) | (np.arange(len(centroids)) == home[:, None])]
-        return pd.DataFrame({"home": home.astype(np.int32), "visits": [r.astype(np.int32) for r in visits]})
-
-    placed = materialize(merged.select("id", "label", "rows", "v", cells("v").alias("c")).select("id", "label", "rows", "v", "c.home", "c.visits"))
-    live = placed.groupBy("label", "home").agg(F.count("*").alias("live"))
-    come = placed.select("label", F.explode("visits").alias("home")).groupBy("label", "home").agg(F.count("*").alias("come"))
-    blocks = live.join(come, ["label", "home"]).select("label", F.col("home").alias("cell"), F.ceil(F.col("live") / block).cast("int").alias("ny"), F.ceil(F.col("come") / block).cast("int").alias("nx"))
+        beyond = (s[np.arange(len(s)), own][:, None] - s) / apart[own]
+        near = (beyond <= chord) | (np.arange(len(centroids)) == own[:, None])
+        for i, row in enumerate(at):
+            homes[row] = (own[i], rings[i, own[i]])
+            visits[row] = [(c, r) for c in np.flatnonzero(near[i]) for r in range(max(0, rings[i, c] - 1), rings[i, c] + 2)]
+    of = lambda found: [{"cell": int(c), "ring": int(r)} for c, r in found]
+    return pd.DataFrame({"home": of(homes), "visits": [of(v) for v in visits]})
+
+
+def _links_of(merged: DataFrame, min_cosine: float, cell_rows: int, block: int) -> DataFrame:
+    """(id, n, root) rows of all links among the merged vectors."""
+    rows = merged.count()
+    sample = merged.orderBy("key").limit(SAMPLE).select(F.col("label").cast("string").alias("label"), "v").toPandas()
+    books = codebooks(sample, rows, cell_rows) if rows > cell_rows else {}
+
+    @F.pandas_udf("home struct<cell:int,ring:int>, visits array<struct<cell:int,ring:int>>")
+    def cells(labels: pd.Series, vectors: pd.Series) -> pd.DataFrame:
+        return place(labels, vectors, books, min_cosine)
+
+    part_of = ["label", "dim", "cell", "ring"]
+    narrow = ["id", "label", F.col("key.dim").alias("dim"), "rows", "v"]
+    placed = materialize(merged.select(*narrow, cells(F.col("label").cast("string"), "v").alias("c")).select("id", "label", "dim", "rows", "v", "c.home", "c.visits"))
+    homes = placed.select("id", "label", "dim", "rows", "v", "home.cell", "home.ring")
+    guests = placed.select("id", "label", "dim", "rows", "v", F.explode("visits").alias("at")).select("id", "label", "dim", "rows", "v", "at.cell", "at.ring")
+    live = homes.groupBy(*part_of).agg(F.count("*").alias("live"))
+    come = guests.groupBy(*part_of).agg(F.count("*").alias("come"))
+    # a ring in which no vector lives has no block: visits there end in this join
+    blocks = live.join(come, part_of).select(*part_of, F.ceil(F.col("live") / block).cast("int").alias("ny"), F.ceil(F.col("come") / block).cast("int").alias("nx"))
     blocks = materialize(blocks)
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    homes = placed.select("id", "label", "rows", "v", F.col("home").alias("cell")).join(blocks, ["label", "cell"])
-    homes = homes.select("id", "rows", "v", "label", "cell", part("ny").alias("y"), every("nx").alias("x"), F.lit(1).alias("side"))
-    guests = placed.select("id", "label", "rows", "v", F.explode("visits").alias("cell")).join(blocks, ["label", "cell"])
-    guests = guests.select("id", "rows", "v", "label", "cell", every("ny").alias("y"), part("nx").alias("x"), F.lit(0).alias("side"))
+    homes = homes.join(blocks, part_of).select("id", "rows", "v", *part_of, part("ny").alias("y"), every("nx").alias("x"), F.lit(1).alias("side"))
+    guests = guests.join(blocks, part_of).select("id", "rows", "v", *part_of, every("ny").alias("y"), part("nx").alias("x"), F.lit(0).alias("side"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         return _block_links(group, min_cosine)
 
-    return homes.unionByName(guests).groupBy("label", "cell", "y", "x").applyInPandas(run, "id long, n long, root long")
+    return homes.unionByName(guests).groupBy(*part_of, "y", "x").applyInPandas(run, "id long, n long, root long")
