@@ -9,27 +9,27 @@ from tidemark.llm.common import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the plain rules or the ratio of trusted to raw text go."""
+    """Documents that fail the plain rules or the ratio of trusted to raw text go; null and empty texts fail, repeated rows are judged alike."""
     return quality.keep_good(docs, queries.trusted_ids(spark, sf_dir))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents of a source share go from the texts; n_chars follows."""
+    """Lines that many documents of a source share go from the texts; n_chars follows. No row goes; null sources are one source, null texts stay null."""
     return lines.clean_lines(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the smallest id (nulls last); repeated rows become one."""
     return simhash.keep_one(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that the sources' words come near their targets."""
+    """Documents are repeated (up to three times) or left out so that the sources' words come near their targets; null sources are one source."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's tokens: their number, and digests of the ids and of the text decoded from them."""
+    """Every row's tokens: their number, and digests of the ids and of the text decoded from them; null texts have none."""
     return bpe.round_trip(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.json")
 
 
@@ -40,6 +40,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, one row for each copy that the mix takes.
+
+    Columns beyond those of documents are carried through to the mix, whatever their names. An empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
