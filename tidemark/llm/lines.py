@@ -66,9 +66,10 @@ def drop_boilerplate(docs: DataFrame, host: Column, text: Column, max_ratio=MAX_
     marked = docs.withColumn(at, host).withColumn(part, salt).withColumn(left, _lines(text))
     joined = marked.join(F.broadcast(named) if few else named, F.col(at).eqNullSafe(F.col(at + "_")) & (F.col(part) == F.col(part + "_")), "left")
     worded = lambda x: x.rlike(r"[^ \t-\r]")
-    hashes = F.transform(left, lambda x: F.xxhash64(_bare(x)))
-    # one hashed intersection per page; then only the lines it found are looked for
-    kept = let(F.array_intersect(hashes, F.col(bad)), lambda hit: F.when(F.size(hit) == 0, F.col(left)).otherwise(F.filter(left, lambda x: ~worded(x) | ~F.array_contains(hit, F.xxhash64(_bare(x))))))
+    # one hashed intersection per page; then only the lines it found are looked for. Lists hold no blank lines: those stay.
+    without = lambda hs, hit: F.filter(left, lambda x, i: ~F.array_contains(hit, F.get(hs, i)))
+    some = lambda hs: let(F.array_intersect(hs, F.col(bad)), lambda hit: F.when(F.size(hit) == 0, F.col(left)).otherwise(without(hs, hit)))
+    kept = let(F.transform(left, lambda x: F.xxhash64(_bare(x))), some)
     n = F.size(F.filter(left, worded)).cast("long")
     stays = F.when(F.col(bad).isNull(), F.col(left)).otherwise(kept)
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), n.alias(total), stays.alias(left))
