@@ -44,14 +44,16 @@ def tier_label(score: Column) -> Column:
 def likelihood(triggers: Column, rfi: Column, prior: Column) -> Column:
     more = F.least(0.10 * (triggers - 1), F.lit(0.30))
     raw = 0.30 + more + F.when(rfi, 0.20).otherwise(0.0) + F.when(prior, 0.15).otherwise(0.0)
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.05), raw)), 3)
+    return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.05), raw)), 3)
 
 
 def to_usd(amount: Column, currency: Column) -> Column:
-    told = None
-    for code, rate in TO_USD.items():
-        told = F.when(currency == code, amount * rate) if told is None else told.when(currency == code, amount * rate)
-    return told
+    """Dollars at rough rates: no currency is taken as dollars, an unknown one keeps the amount."""
+    code = F.upper(F.coalesce(currency, F.lit("USD")))
+    told = F.when(code == "USD", amount.cast("double"))
+    for name, rate in TO_USD.items():
+        told = told.when(code == name, amount * rate)
+    return told.otherwise(amount.cast("double"))
 
 
 def amounts_close(a: Column, b: Column, share: float = 0.10) -> Column:

@@ -20,16 +20,33 @@ def best_earlier_match(df: DataFrame, key: str, vector: str, threshold: float, b
     return best.select("id", (-F.col("best.m")).alias("match"), F.col("best.similarity").alias("similarity"))
 
 
-def nearest(df: DataFrame, query: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k nearest rows of each query vector (a small table: query_id, query_vector), itself left out."""
-    if query.limit(1001).count() > 1000:
-        raise ValueError("more than a thousand query vectors: ask in blocks")
-    q = F.broadcast(query)
-    scored = df.join(q, df[key] != q["query_id"]).withColumn("similarity", cosine(F.col(vector), F.col("query_vector"))).where("similarity IS NOT NULL")
-    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(key))
+def nearest(df: DataFrame, query: DataFrame, key: str, vector: str, k: int, block: int = 1000) -> DataFrame:
+    """The k nearest rows of each query vector (query_id, query_vector), itself left out.
+
+    Up to `block` queries are broadcast. More go in blocks: every row meets each block in an equi-join on the block's number, and
+    Spark limits a query's rows before they are ranked. All rows are compared, whatever their number.
+    """
+    blocks = -(-query.count() // block)
+    if blocks <= 1:
+        pairs = df.join(F.broadcast(query), df[key] != query["query_id"])
+    else:
+        parted = query.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        pairs = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(parted, "_block").where(F.col(key) != F.col("query_id"))
+    scored = pairs.withColumn("similarity", cosine(F.col(vector), F.col("query_vector"))).where("similarity IS NOT NULL")
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col(key).alias("id"), "rank", "similarity")
 
 
+def cross_language(items: DataFrame, days: float = 1.5, least: int = 2, left_out: tuple[str, ...] = ("out_of_scope", "secondary")) -> DataFrame:
+    """(a, b, shared): the same story in two languages. items: id, lang, domain, at (published, else created), entities, dedup_of, status.
+
+    Only clean items that duplicate nothing, of a known domain that isn't left out, take part. Pairs share `least` entities or
+    more and lie at most `days` apart, both ends included; each later item takes the smallest earlier one.
+    """
+    able = items.where(F.col("dedup_of").isNull() & (F.col("status") == "clean") & ~F.col("domain").isin(*left_out))
+    return shared_within(able, "id", "entities", "at", "lang", least, int(days * 86_400))
+
+
 def shared_within(df: DataFrame, key: str, elements: str, ts: str, differs: str, least: int, seconds: int) -> DataFrame:
     """Pairs a < b with `least` or more shared elements, a different value of `differs`, at most `seconds` apart; each b once, with the least a.
 

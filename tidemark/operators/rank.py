@@ -23,6 +23,7 @@ def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
+    """The rows of page `number` (from 1). A page has 200 rows at most: larger sizes are taken as 200, smaller than 1 as 1."""
     size = max(1, min(200, size))
     return df.orderBy(*order).offset(max(0, number - 1) * size).limit(size)
 

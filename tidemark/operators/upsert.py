@@ -34,3 +34,39 @@ def snapshot_delta(before: DataFrame, now: DataFrame, key: str, rank: str) -> Da
     a, b = before.select(key, F.col(rank).alias("was")), now.select(key, F.col(rank).alias("now"))
     state = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "gone").when(F.col("now") > F.col("was"), "risen").when(F.col("now") < F.col("was"), "fallen").otherwise("same")
     return a.join(b, key, "full").select(key, "was", "now", state.alias("state"))
+
+
+def merge_entities(rows: DataFrame) -> DataFrame:
+    """name (lower-cased), kind, aliases (united, sorted) and n of entities whose names differ in case only; rows: name, kind, aliases, seq.
+
+    The first row's kind stays. Aliases are exploded before they are gathered, so that repeated ones shrink in the reading tasks.
+    """
+    keyed = rows.select(F.lower("name").alias("name"), "kind", "aliases", "seq")
+    first = keyed.groupBy("name").agg(F.min_by("kind", "seq").alias("kind"), F.count("*").alias("n"))
+    united = keyed.select("name", F.explode("aliases").alias("alias")).groupBy("name").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+    return first.join(united, "name", "left").select("name", "kind", "aliases", "n")
+
+
+def replace_edges(rows: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """src, dst, label, props, created of allowed labels: the latest item replaces earlier ones, the first time stays."""
+    latest = F.max_by("item", F.struct("seen", "item"))
+    return rows.where(F.col("label").isin(*labels)).groupBy("src", "dst", "label").agg(latest.alias("props"), F.min("seen").alias("created"))
+
+
+def deactivate(stored: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """stored with active false for keys that current doesn't name; without any current key nothing changes."""
+    named = current.select(F.col(key).alias("_k")).distinct()
+    some = named.agg(F.count("*") > 0).scalar()
+    active = F.when(some, F.col("_k").isNotNull() & F.col("active")).otherwise(F.col("active"))
+    return stored.join(named, F.col(key) == F.col("_k"), "left").select(*(active.alias(c) if c == "active" else F.col(c) for c in stored.columns))
+
+
+def sync_actions(stored: DataFrame, derived: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key and action: create, deactivate, update where a field differs (null is a value), else keep."""
+    a = stored.select(key, *(F.col(c).alias(f"_a_{c}") for c in fields), F.lit(1).alias("_a"))
+    b = derived.select(key, *(F.col(c).alias(f"_b_{c}") for c in fields), F.lit(1).alias("_b"))
+    differs = F.lit(False)
+    for c in fields:
+        differs = differs | ~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}"))
+    action = F.when(F.col("_a").isNull(), "create").when(F.col("_b").isNull(), "deactivate").when(differs, "update").otherwise("keep")
+    return a.join(b, key, "full").select(key, action.alias("action"))

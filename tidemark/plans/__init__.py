@@ -1,6 +1,6 @@
 """The named queries over the driver's tables, with DuckDB SQL for each that SQL can express."""
 
-from . import commerce, documents, events, links, matching, records, relational, streams
+from . import commerce, documents, editorial, events, links, matching, records, relational, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "commerce", "documents", "events", "links", "matching", "records", "relational", "streams"]
+__all__ = ["QUERIES", "SQL", "commerce", "documents", "editorial", "events", "links", "matching", "records", "relational", "streams"]

@@ -24,7 +24,7 @@ SELECT b.p_brand AS brand, y.p_type AS type, count(p.p_partkey)::BIGINT AS n FRO
 def dense_matrix(t):
     """Ten brands by ten types, zeros included: the grid is built from two lists of ten."""
     p = t("part")
-    ten = lambda c: rank.top(p.groupBy(c).agg(F.count("*").alias("n")), 10, F.col("n").desc(), F.col(c)).select(c)
+    ten = lambda c: rank.top(p.groupBy(c).agg(F.count("*").alias("n")), 10, F.col("n").desc_nulls_last(), F.col(c)).select(c)
     types = ten("p_type").agg(F.sort_array(F.collect_list("p_type")).alias("types"))
     grid = ten("p_brand").withColumn("p_type", F.explode(types.scalar()))
     counts = p.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
@@ -64,13 +64,13 @@ def country_rollup(t):
 @query("""SELECT country, c_custkey, c_acctbal, place::INT AS place FROM (SELECT n_name AS country, c_custkey, c_acctbal, row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey DESC) AS place FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE place <= 3""")
 def country_top3(t):
     c = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    w = Window.partitionBy("n_name").orderBy(F.col("c_acctbal").desc(), F.col("c_custkey").desc())
+    w = Window.partitionBy("n_name").orderBy(F.col("c_acctbal").desc_nulls_last(), F.col("c_custkey").desc_nulls_last())
     return c.withColumn("place", F.row_number().over(w)).where("place <= 3").select(F.col("n_name").alias("country"), "c_custkey", "c_acctbal", "place")
 
 
 @query("""SELECT o_custkey, o_orderkey, o_orderdate::TIMESTAMP AS o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
 def latest_version(t):
-    return rank.latest(t("orders"), ["o_custkey"], F.col("o_orderdate").desc(), F.col("o_orderkey").desc()).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return rank.latest(t("orders"), ["o_custkey"], F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc_nulls_last()).select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
 
 
 @query("""SELECT o_custkey, o_orderpriority, max(o_orderkey) AS o_orderkey, count(*)::BIGINT AS n FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY o_custkey, o_orderpriority) AS newest FROM orders) WHERE o_orderdate = newest GROUP BY 1, 2""")
@@ -83,7 +83,7 @@ def latest_by_two_keys(t):
 @query("""SELECT o_orderkey, o_orderstatus FROM orders ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, CASE WHEN o_orderstatus = 'O' THEN o_orderdate END ASC NULLS LAST, o_totalprice DESC, o_orderkey LIMIT 200""")
 def business_rank_listing(t):
     s = F.col("o_orderstatus")
-    order = (F.when(s == "O", 0).when(s == "P", 1).otherwise(2), F.when(s == "O", F.col("o_orderdate")).asc_nulls_last(), F.col("o_totalprice").desc(), F.col("o_orderkey"))
+    order = (F.when(s == "O", 0).when(s == "P", 1).otherwise(2), F.when(s == "O", F.col("o_orderdate")).asc_nulls_last(), F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey"))
     return rank.top(t("orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice"), 200, *order).select("o_orderkey", "o_orderstatus")
 
 
@@ -123,7 +123,7 @@ def cross_source_mergeable(t):
 def entity_search(t):
     n = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     c = t("customer").where(F.col("c_name").ilike("%00012%")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(n, "c_custkey", "left")
-    return rank.top(c.select("c_custkey", "c_name", F.col("n_name").alias("country"), F.coalesce("n", F.lit(0)).alias("orders")), 20, F.col("orders").desc(), F.col("c_name"))
+    return rank.top(c.select("c_custkey", "c_name", F.col("n_name").alias("country"), F.coalesce("n", F.lit(0)).alias("orders")), 20, F.col("orders").desc_nulls_last(), F.col("c_name"))
 
 
 @query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%') AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)""")

@@ -59,7 +59,7 @@ def top_entities_delta(t):
     e, ts = t("events"), F.col("ts")
     now = F.count(F.when(within(ts, START, END), 1))
     before = F.count(F.when(within(ts, "2024-01-17", START), 1))
-    return rank.top(e.groupBy("user_id").agg(now.alias("n"), (now - before).alias("delta")).where("n > 0"), 10, F.col("n").desc(), F.col("user_id"))
+    return rank.top(e.groupBy("user_id").agg(now.alias("n"), (now - before).alias("delta")).where("n > 0"), 10, F.col("n").desc_nulls_last(), F.col("user_id"))
 
 
 @query("""WITH c AS (SELECT event_type, count(*) FILTER (WHERE age <= 7)::BIGINT AS n, count(*) FILTER (WHERE age > 7) / 4.0::DOUBLE AS mean FROM (SELECT event_type, date_diff('day', ts::DATE, DATE '2024-01-31') AS age FROM events) WHERE age BETWEEN 1 AND 35 GROUP BY event_type),
@@ -100,7 +100,7 @@ def latest_outcome(t):
 
 @query("""SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' OR event_type <> 'error' QUALIFY event_type = 'error' OR row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 3""")
 def per_group_cap(t):
-    return rank.cap_per_group(t("events"), ["user_id"], 3, F.col("value").desc(), F.col("event_id"), always=F.col("event_type") == "error").select("event_id", "user_id", "event_type")
+    return rank.cap_per_group(t("events"), ["user_id"], 3, F.col("value").desc_nulls_last(), F.col("event_id"), always=F.col("event_type") == "error").select("event_id", "user_id", "event_type")
 
 
 @query(f"""WITH e AS (SELECT user_id, ts::DATE AS day, {_SRC} AS host, value FROM events), c AS (SELECT user_id, day, count(DISTINCT host)::BIGINT AS hosts, max(value) > 90 AS official FROM e GROUP BY user_id, day)

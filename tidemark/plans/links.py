@@ -53,7 +53,7 @@ def shortest_path(t):
 SELECT e.src, e.dst, count(*)::BIGINT AS n FROM e JOIN top USING (src) GROUP BY 1, 2""")
 def graph_overview(t):
     e = edges(t)
-    hot = rank.top(e.where(F.col("seen") >= F.lit("1997-01-01").cast("timestamp")).groupBy("src").agg(F.count("*").alias("m")), 25, F.col("m").desc(), F.col("src"))
+    hot = rank.top(e.where(F.col("seen") >= F.lit("1997-01-01").cast("timestamp")).groupBy("src").agg(F.count("*").alias("m")), 25, F.col("m").desc_nulls_last(), F.col("src"))
     return e.join(F.broadcast(hot.select("src")), "src").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 

@@ -141,7 +141,7 @@ def exact_sentence_dedupe(t):
 @query("""SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS nth, n_chars FROM documents) WHERE nth <= 4 OR n_chars > 20000""")
 def capped_with_exceptions(t):
     """The first of each group, and all that are too large to be left out."""
-    return rank.cap_per_group(t("documents").select("doc_id", "source", "n_chars"), ["source"], 4, F.col("n_chars").desc(), F.col("doc_id"), always=F.col("n_chars") > 20000).select("doc_id")
+    return rank.cap_per_group(t("documents").select("doc_id", "source", "n_chars"), ["source"], 4, F.col("n_chars").desc_nulls_last(), F.col("doc_id"), always=F.col("n_chars") > 20000).select("doc_id")
 
 
 @query("""WITH RECURSIVE c AS (SELECT p_partkey, p_partkey // 2 AS parent FROM part), up AS (SELECT 100::BIGINT AS node, 0 AS hops UNION ALL SELECT c.parent, hops + 1 FROM up JOIN c ON c.p_partkey = up.node WHERE up.node > 1) SELECT node, hops FROM up""")

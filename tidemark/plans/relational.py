@@ -30,7 +30,7 @@ def array_predicates(t):
 SELECT c_custkey, a.p AS latest, b.p AS before FROM customer LEFT JOIN r a ON a.o_custkey = c_custkey AND a.nth = 1 LEFT JOIN r b ON b.o_custkey = c_custkey AND b.nth = 2 WHERE a.p IS DISTINCT FROM b.p""")
 def null_safe_changes(t):
     """Customers whose two latest orders differ in priority, a missing order being a value of its own."""
-    two = rank.first_per(t("orders"), ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], 2, "nth")
+    two = rank.first_per(t("orders"), ["o_custkey"], [F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc_nulls_last()], 2, "nth")
     per = two.groupBy("o_custkey").agg(F.max(F.when(F.col("nth") == 1, F.col("o_orderpriority"))).alias("latest"), F.max(F.when(F.col("nth") == 2, F.col("o_orderpriority"))).alias("before"))
     joined = t("customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
     return joined.where(~F.col("latest").eqNullSafe(F.col("before"))).select("c_custkey", "latest", "before")
@@ -81,7 +81,7 @@ def in_subquery_recent(t):
     brand = t("part").where("p_brand = 'Brand#7'").select("p_partkey")
     keys = t("lineitem").where("l_quantity > 30").join(brand, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select(F.col("l_orderkey").alias("o_orderkey"))
     found = t("orders").join(keys, "o_orderkey", "left_semi").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
-    return rank.top(found, 20, F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
+    return rank.top(found, 20, F.col("o_orderdate").desc_nulls_last(), F.col("o_orderkey").desc_nulls_last())
 
 
 @query("""SELECT user_id, count(*)::BIGINT AS n, max(ts)::TIMESTAMP AS last_seen, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-24')::BIGINT AS n7, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-01')::BIGINT AS n30 FROM events GROUP BY user_id""")
@@ -178,7 +178,7 @@ def evidence_union(t):
 @query("""SELECT user_id, round(avg(value), 6) AS mean, count(*)::BIGINT AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 5 GROUP BY user_id""")
 def mean_of_last(t):
     """The mean of an entity's five latest values."""
-    last = rank.first_per(t("events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 5, "nth")
+    last = rank.first_per(t("events"), ["user_id"], [F.col("ts").desc_nulls_last(), F.col("event_id").desc_nulls_last()], 5, "nth")
     return last.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
 
 
@@ -212,7 +212,7 @@ def previous_issue(t):
 @query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value > 50 DESC, ts DESC, event_id) AS nth FROM events), b AS (SELECT * FROM a WHERE nth <= 3)
 SELECT event_id, event_type FROM b ORDER BY ts, event_id LIMIT 8""")
 def cap_per_key_then_overall(t):
-    some = rank.first_per(t("events").withColumn("evident", F.col("value") > 50), ["event_type"], [F.col("evident").desc(), F.col("ts").desc(), F.col("event_id")], 3, "nth")
+    some = rank.first_per(t("events").withColumn("evident", F.col("value") > 50), ["event_type"], [F.col("evident").desc_nulls_last(), F.col("ts").desc_nulls_last(), F.col("event_id")], 3, "nth")
     return rank.top(some, 8, F.col("ts"), F.col("event_id")).select("event_id", "event_type")
 
 
@@ -226,8 +226,8 @@ def hybrid_retrieval(t):
     low = t("documents").select("doc_id", F.lower("text").alias("low"))
     hit = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(k)), F.struct(F.lit(k).alias("token"), F.when(F.contains(F.substring("low", 1, 120), F.lit(k)), 2.0).otherwise(0.5).alias("s"))) for k in tokens)))
     hits = low.select("doc_id", F.explode(hit).alias("h")).select("doc_id", "h.token", "h.s")
-    first = rank.first_per(hits, ["token"], [F.col("doc_id").desc()], 5, "nth")
-    return rank.top(first.groupBy("doc_id").agg(F.sum("s").alias("score"), F.count("*").alias("tokens")), 8, F.col("score").desc(), F.col("doc_id").desc())
+    first = rank.first_per(hits, ["token"], [F.col("doc_id").desc_nulls_last()], 5, "nth")
+    return rank.top(first.groupBy("doc_id").agg(F.sum("s").alias("score"), F.count("*").alias("tokens")), 8, F.col("score").desc_nulls_last(), F.col("doc_id").desc_nulls_last())
 
 
 @query("""SELECT s.s_suppkey, rank_of, coalesce(p.n, 0)::BIGINT AS pos FROM (SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END AS rank_of FROM supplier) s LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) p ON p.l_suppkey = s.s_suppkey""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,39 +24,60 @@ def windowed(stream: DataFrame, window: Column, *keys: str) -> DataFrame:
 
 
 def first_seen(stream: DataFrame, *keys: str) -> DataFrame:
-    """One row per key; a key's state goes once the watermark has passed it."""
+    """One row per key; a key's state goes once the watermark (60 days late, see events) has passed it: a key that comes back later is new again."""
     return stream.dropDuplicatesWithinWatermark(list(keys)).select(*keys)
 
 
-def last_result(result: DataFrame) -> DataFrame:
-    """The whole result after the last batch of an aggregation: each batch goes to a path of its own, so that a batch done again does no harm."""
-    spark, path, done = result.sparkSession, new_path(result.sparkSession, "streams"), []
+def last_result(result: DataFrame, path: str | None = None) -> DataFrame:
+    """The whole result after the last batch of an aggregation. path keeps state and results: a stopped stream goes on from there.
+
+    Each batch goes to a folder of its own number, so that a batch done again does no harm.
+    """
+    path = path or new_path(result.sparkSession, "streams")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/{number}")
-        done.append(number)
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/batch_{number}")
 
     _run(result.writeStream.outputMode("complete").foreachBatch(write), path)
-    return spark.read.schema(result.schema).parquet(f"{path}/out/{done[-1]}")
+    return _newest(result.sparkSession, path, result.schema)
 
 
-def appended(result: DataFrame) -> DataFrame:
-    spark, path = result.sparkSession, new_path(result.sparkSession, "streams")
+def appended(result: DataFrame, path: str | None = None) -> DataFrame:
+    spark, path = result.sparkSession, path or new_path(result.sparkSession, "streams")
     _run(result.writeStream.outputMode("append").format("parquet").option("path", f"{path}/out"), path)
     return spark.read.schema(result.schema).parquet(f"{path}/out")
 
 
-def upserted(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataFrame:
-    """A table kept by merging each batch into the version before; batch n reads version n - 1 and writes version n."""
-    spark, path, done = stream.sparkSession, new_path(stream.sparkSession, "streams"), []
+def upserted(stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], path: str | None = None) -> DataFrame:
+    """A table kept by merging each batch into the version before it; a stopped stream goes on from the last version at path.
+
+    Batch n reads the newest version below n that is on disk and writes version n, so a batch done again gives the same.
+    """
+    spark, path = stream.sparkSession, path or new_path(stream.sparkSession, "streams")
 
     def write(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{path}/out/{done[-1]}") if done else None
-        merge(old, batch).write.mode("overwrite").parquet(f"{path}/out/{number}")
-        done.append(number)
+        last = _last(batch.sparkSession, path, number)
+        old = None if last is None else batch.sparkSession.read.parquet(f"{path}/out/batch_{last}").drop("batch")
+        merge(old, batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/batch_{number}")
 
     _run(stream.writeStream.outputMode("append").foreachBatch(write), path)
-    return spark.read.parquet(f"{path}/out/{done[-1]}")
+    return _newest(spark, path, None)
+
+
+def _last(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """The largest number of a written batch (below a bound): names of files only, by Spark's own file access."""
+    done = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    try:
+        names = [r[0] for r in done.load(f"{path}/out").select("path").collect()]
+    except AnalysisException:  # nothing was written yet
+        names = []
+    numbers = [int(n.rsplit("/", 2)[1].removeprefix("batch_")) for n in names]
+    return max((n for n in numbers if below is None or n < below), default=None)
+
+
+def _newest(spark: SparkSession, path: str, schema) -> DataFrame:
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(f"{path}/out/batch_{_last(spark, path)}").drop("batch")
 
 
 def _run(writer, path: str) -> None:
