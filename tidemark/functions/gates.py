@@ -58,7 +58,7 @@ TITLE_WORDS = (
 THRESHOLD_LOW, THRESHOLD_HIGH = 0.3, 0.8
 
 
-def _any(conditions) -> Column:
+def any_of(conditions) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
@@ -71,8 +71,8 @@ def host(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[^/]*//(?:[^/@]*@)?([^/:?#]*)", 1)
 
 
-def _within(domain: Column, names: tuple[str, ...]) -> Column:
-    return domain.isin(*names) | _any(F.endswith(domain, F.lit("." + n)) for n in names)
+def within_domains(domain: Column, names: tuple[str, ...]) -> Column:
+    return domain.isin(*names) | any_of(F.endswith(domain, F.lit("." + n)) for n in names)
 
 
 def due(schedule: Column, last: Column, now: Column, poll: bool = False) -> Column:
@@ -97,8 +97,8 @@ def trusted_redirect(asked: Column, landed: Column, blocked: Column) -> Column:
 def official(url: Column) -> Column:
     """True for portals of states, news wires, and press pages of a company's investor site; null counts as none."""
     site, path = host(url), F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[^/]*//[^/?#]*([^?#]*)", 1)
-    press = _any(F.startswith(site, F.lit(p)) for p in INVESTOR_HOSTS) & _any(F.contains(path, F.lit(p)) for p in PRESS_PATHS)
-    return site.isin(*OFFICIAL_HOSTS) | _any(F.endswith(site, F.lit(x)) for x in OFFICIAL_SUFFIXES) | press
+    press = any_of(F.startswith(site, F.lit(p)) for p in INVESTOR_HOSTS) & any_of(F.contains(path, F.lit(p)) for p in PRESS_PATHS)
+    return site.isin(*OFFICIAL_HOSTS) | any_of(F.endswith(site, F.lit(x)) for x in OFFICIAL_SUFFIXES) | press
 
 
 def web_source(url: Column, vendor: Column) -> Column:
@@ -107,9 +107,9 @@ def web_source(url: Column, vendor: Column) -> Column:
     bare = lambda x: F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[^a-z0-9]+", "")
     told = lambda kind, sure: F.struct(F.lit(kind).alias("kind"), F.lit(sure).alias("reliability"))
     own = (F.length(bare(vendor)) >= 3) & F.contains(bare(site), bare(vendor))
-    kind = F.when(own, told("vendor_official", "primary")).when(_within(site, ENCYCLOPEDIAS), told("reference", "low"))
-    kind = kind.when(_any(F.contains(site, F.lit(f)) for f in FORUMS), told("forum", "low"))
-    return kind.when(_within(site, TRADE_PRESS), told("trade_press", "secondary")).otherwise(told("press", "secondary"))
+    kind = F.when(own, told("vendor_official", "primary")).when(within_domains(site, ENCYCLOPEDIAS), told("reference", "low"))
+    kind = kind.when(any_of(F.contains(site, F.lit(f)) for f in FORUMS), told("forum", "low"))
+    return kind.when(within_domains(site, TRADE_PRESS), told("trade_press", "secondary")).otherwise(told("press", "secondary"))
 
 
 def row_confidence(cites: Column, kind: Column, cited_kinds: Column) -> Column:
@@ -161,7 +161,7 @@ def two_signals(text: Column, terms: tuple[str, ...], signals: tuple[str, ...])
     """The terms that a text holds, in their order; none unless it holds one of the signals as well."""
     low = F.lower(F.coalesce(text, F.lit("")))
     held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t.lower())), t) for t in terms)))
-    return F.when(_any(F.contains(low, F.lit(s.lower())) for s in signals), held).otherwise(F.array().cast("array<string>"))
+    return F.when(any_of(F.contains(low, F.lit(s.lower())) for s in signals), held).otherwise(F.array().cast("array<string>"))
 
 
 def rubric(text: Column, words: tuple[str, ...]) -> Column:
@@ -175,7 +175,7 @@ def retrievable(status: Column, domain: Column, summary: Column, title: Column,
     """Clean (or not judged), in scope, summarised, and no page that failed to load, as its title and first 300 characters tell."""
     opening = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.substring(F.coalesce(text, F.lit("")), 1, 300)))
     clean = (F.coalesce(status, F.lit("clean")) == "clean") & ~domain.eqNullSafe(F.lit("out_of_scope"))
-    return clean & (F.coalesce(summary, F.lit("")) != "") & ~_any(F.contains(opening, F.lit(p)) for p in FAILED_FETCH)
+    return clean & (F.coalesce(summary, F.lit("")) != "") & ~any_of(F.contains(opening, F.lit(p)) for p in FAILED_FETCH)
 
 
 def deal_key(value: Column, amount: Column, kind: Column, customer: Column, date: Column) -> Column:

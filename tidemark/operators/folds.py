@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -86,3 +87,40 @@ def best_duplicates(candidates: DataFrame, events: DataFrame) -> DataFrame:
     scored = pairs.where(able).withColumn("score", F.when(same, F.greatest("char", "token")).otherwise(F.col("char")))
     best = F.max(F.struct("score", (-F.col("match")).alias("m")))
     return scored.groupBy("id").agg(best.alias("best")).select("id", (-F.col("best.m")).alias("match"), F.col("best.score").alias("score"))
+
+
+def merge_windows(rows: DataFrame, report: str, keys: list[str], days: int = 14) -> DataFrame:
+    """cluster (the first member's id), best (the better grade's id, of equals the first), first_day, last_day, n.
+
+    rows: report, keys, nth (their order), id, grade (A before B before C; null as C), first_day, last_day. A row joins the first
+    cluster of its keys with a member both of whose days lie within `days` of its own; one without both days stands by itself. Rows
+    come to a task sorted by their keys, so that many small groups cost no more than their rows; one group at a time is held.
+    """
+
+    def near(a, b) -> bool:
+        return abs((a.first_day - b.first_day).days) <= days and abs((a.last_day - b.last_day).days) <= days
+
+    def told(cluster: list) -> tuple:
+        best = min(cluster, key=lambda r: r.grade)  # the first of equals
+        firsts, lasts = ([d for d in (getattr(r, name) for r in cluster) if d is not None] for name in ("first_day", "last_day"))
+        return cluster[0].id, best.id, min(firsts, default=None), max(lasts, default=None), len(cluster)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, clusters, columns = None, [], ["cluster", "best", "first_day", "last_day", "n"]
+        for batch in batches:
+            done: list[list] = []
+            for r in batch.itertuples():
+                if r.key != key:
+                    done.extend(clusters)
+                    key, clusters = r.key, []
+                home = next((c for c in clusters if c[0].known and any(near(m, r) for m in c)), None) if r.known else None
+                if home is None:
+                    clusters.append(home := [])
+                home.append(r)
+            yield pd.DataFrame(map(told, done), columns=columns)
+        yield pd.DataFrame(map(told, clusters), columns=columns)
+
+    known = (F.col("first_day").isNotNull() & F.col("last_day").isNotNull()).alias("known")
+    key = F.to_json(F.struct(report, *keys)).alias("key")
+    cut = rows.select(key, "nth", "id", F.coalesce("grade", F.lit("C")).alias("grade"), "first_day", "last_day", known)
+    return cut.repartition("key").sortWithinPartitions("key", "nth", "id").mapInPandas(fold, "cluster long, best long, first_day date, last_day date, n long")
