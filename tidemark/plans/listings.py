@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions import prose, rules, scores
+from ..functions import names, prose, rules, scores
 from ..functions.gates import host, within_domains
 from ..functions.times import local_day
 from ..operators import folds, listings, rank
@@ -258,3 +258,25 @@ def pipeline_rows(t):
     ends = F.when(F.col("o_orderkey") % 5 != 0, F.date_add(day, 20))
     rows = t("orders").select("o_custkey", "o_orderstatus", F.col("o_orderkey").alias("nth"), F.col("o_orderkey").alias("id"), grade.alias("grade"), day.alias("first_day"), ends.alias("last_day"))
     return folds.merge_windows(rows, "o_custkey", ["o_orderstatus"])
+
+
+_COMPANIES, _STRICT = {"License": ("licence", "licensed under the"), "Password": ("token", "secret"), "The": ("und",), "None": ()}, ("token", "und")
+_WORD = lambda s: f"regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}]){s}($|[^\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}])')"
+
+
+def _mentions_sql() -> str:
+    """A line for each company: its longest surface found, if one that isn't strict is found."""
+    lines = []
+    for name, aliases in _COMPANIES.items():
+        surfaces = sorted((name, *aliases), key=lambda s: (-len(s), s))
+        plain = " OR ".join(_WORD(s) for s in surfaces if s not in _STRICT)
+        cases = " ".join(f"WHEN {_WORD(s)} THEN {-len(s)}" for s in surfaces)
+        lines.append(f"SELECT doc_id, '{name}' AS name, CASE {cases} END AS size FROM documents WHERE {plain}")
+    return f"WITH m AS ({' UNION ALL '.join(lines)}) SELECT doc_id, list(name ORDER BY size, name) AS named FROM m GROUP BY 1"
+
+
+@query(_mentions_sql())
+def company_mentions(t):
+    """Documents that name one of some companies, two of whose aliases are strict, with all that they name."""
+    named = names.mentioned(F.col("text"), _COMPANIES, _STRICT)
+    return t("documents").select("doc_id", named.alias("named")).where(F.size("named") > 0)
