@@ -8,7 +8,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lines, mixing, quality, secrets, sharding, simhash, toxicity, vectors, warc
+from . import annulus, bpe, lines, mixing, quality, secrets, sharding, simhash, toxicity, vectors, warc
 from .common import shared_dir, table
 
 #: Folder with the public vocabulary files: that of the installed package, or where such a box keeps them.
@@ -60,15 +60,41 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex}")
 
 
+def op11_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
 #: Largest label has few hundred vectors at the driver's sizes: SQL compares all pairs and spreads the smallest id along the links.
 _LINKS = """pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)
   WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93)"""
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_vectors, op4_toxicity, op5_secrets, op6_bpe, op7_sharding, op8_simhash, op9_lines, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_vectors, op4_toxicity, op5_secrets, op6_bpe, op7_sharding, op8_simhash, op9_lines, op10_warc, op11_annulus)}
 
 _SIZES = r"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS k FROM documents"
 
+
+
+def _clusters_sql() -> str:
+    """The rounds written out one after another, as a recursive query may not group what it has found."""
+    assign = """a{n} AS MATERIALIZED (SELECT vec_id, v, c, d FROM (
+  SELECT vec_id, k.v AS v, c, list_sum(list_transform(list_zip(k.v, m.v), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept k, m{n} m)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
+    move = """m{next} AS MATERIALIZED (SELECT m.c, coalesce(w.v, m.v) AS v FROM m{n} m LEFT JOIN (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
+    SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY c, i) GROUP BY c) w ON m.c = w.c)"""
+    rounds = ",\n".join(f"{assign.format(n=n)},\n{move.format(n=n, next=n + 1)}" for n in range(annulus.ROUNDS))
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64),
+m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 8)),
+{rounds},
+{assign.format(n=annulus.ROUNDS)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m{annulus.ROUNDS}.v, ',')) AS centroid_sha256 FROM a{annulus.ROUNDS} JOIN m{annulus.ROUNDS} USING (c)"""
+
+
 SQL = {
+    "op11_annulus": _clusters_sql(),
     "op3_vectors": f"""
 WITH RECURSIVE {_LINKS},
 reach AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT p.a, r.root FROM pairs p JOIN reach r ON p.b = r.vec_id),
