@@ -149,7 +149,7 @@ def cluster_report(vectors: DataFrame, vec_id="vec_id", embedding="embedding", *
     Both sums are longs (null beyond 64 bits). Sums are taken in Spark; what comes back and is broadcast has a row a centroid.
     """
     found, centroids = clusters(vectors, vec_id, embedding, **more)
-    beyond = F.lit(2**63).cast("decimal(38,0)")  # stands for a distance that is null
+    beyond = F.lit(str(2**63)).cast("decimal(38,0)")  # stands for a distance that is null
     sums = found.groupBy("cluster").agg(F.sum(F.coalesce(F.col("distance").cast("decimal(38,0)"), beyond)).alias("s")).collect()
     per = {r["cluster"]: int(r["s"]) for r in sums}
     fits = lambda s: s if s < 2**63 else None
