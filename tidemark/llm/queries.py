@@ -77,15 +77,15 @@ _SIZES = r"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 def _clusters_sql() -> str:
     """The rounds written out one after another, as a recursive query may not group what it has found."""
     assign = """a{n} AS MATERIALIZED (SELECT vec_id, v, c, d FROM (
-  SELECT vec_id, k.v AS v, c, list_sum(list_transform(list_zip(k.v, m.v), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept k, m{n} m)
+  SELECT vec_id, k.v AS v, c, list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept k, m{n} m)
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"""
     move = """m{next} AS MATERIALIZED (SELECT m.c, coalesce(w.v, m.v) AS v FROM m{n} m LEFT JOIN (
   SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM (
     SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY c, i) GROUP BY c) w ON m.c = w.c)"""
     rounds = ",\n".join(f"{assign.format(n=n)},\n{move.format(n=n, next=n + 1)}" for n in range(annulus.ROUNDS))
     return f"""
-WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64),
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
 m0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 8)),
 {rounds},
 {assign.format(n=annulus.ROUNDS)}
