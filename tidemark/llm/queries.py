@@ -8,7 +8,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annulus, bpe, lines, mixing, quality, secrets, sharding, simhash, toxicity, vectors, warc
+from . import annulus, bpe, exact, lines, mixing, quality, secrets, sharding, simhash, toxicity, vectors, warc
 from .common import shared_dir, table
 
 #: Folder with the public vocabulary files: that of the installed package, or where such a box keeps them.
@@ -64,11 +64,15 @@ def op11_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annulus.cluster_report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup(exact.file_stream(spark, sf_dir, "documents"), table(spark, sf_dir, "documents"))
+
+
 #: Largest label has few hundred vectors at the driver's sizes: SQL compares all pairs and spreads the smallest id along the links.
 _LINKS = """pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)
   WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93)"""
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_vectors, op4_toxicity, op5_secrets, op6_bpe, op7_sharding, op8_simhash, op9_lines, op10_warc, op11_annulus)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_vectors, op4_toxicity, op5_secrets, op6_bpe, op7_sharding, op8_simhash, op9_lines, op10_warc, op11_annulus, op12_exact)}
 
 _SIZES = r"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS k FROM documents"
 
@@ -145,6 +149,10 @@ marked AS (SELECT b.*, o.bare IS NOT NULL AND word AS gone FROM bare b LEFT JOIN
 SELECT page_id, host, sum(CASE WHEN word THEN 1 ELSE 0 END)::BIGINT AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END)::BIGINT AS n_dropped,
   coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT gone), '') AS text
 FROM marked GROUP BY page_id, host""",
+    "op12_exact": """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
     "op10_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
