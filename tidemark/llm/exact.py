@@ -15,7 +15,8 @@ from .common import materialize, shared_dir, small
 #: Files that a batch of the stream takes at most: what a lost batch does anew. Nothing is left out by it.
 FILES = 4096
 STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: No disk is set aside in advance: a store that holds little takes little, however many partitions the state has.
+SETTINGS = {STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normal(text: Column | str) -> Column:
@@ -33,12 +34,14 @@ def file_stream(spark: SparkSession, folder: str, name: str, files: int = FILES)
 @contextmanager
 def _on_disk(spark: SparkSession) -> Iterator[None]:
     """State goes to RocksDB on the executors' disks, with its changes in the checkpoint, from where a lost executor's come back."""
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _located(docs: DataFrame, doc_id: str, text: str, digest_bytes: int) -> DataFrame:
