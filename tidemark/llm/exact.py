@@ -96,11 +96,13 @@ def dedup(stream: DataFrame, docs: DataFrame, path: str | None = None, doc_id="d
     spark = docs.sparkSession
     state = stream_state(stream, path or f"{shared_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}", doc_id, text, digest_bytes)
     other = checked(docs, state, doc_id, text, digest_bytes)
-    rows = _located(docs, doc_id, text, digest_bytes).drop("norm").join(small(state), "key")
+    hit = small(state.where("n > 1"))  # whoever is alone in its digest stays
+    rows = _located(docs, doc_id, text, digest_bytes).drop("norm").join(hit, "key", "left")
+    rows = rows.withColumns({"keep": F.coalesce("keep", F.struct("id", "place")), "n": F.coalesce("n", F.lit(1))})
     if other.limit(1).count():
         own = small(other.select("key", "place", F.col("keep").alias("own_keep"), F.col("n").alias("own_n")))
         rows = rows.join(own, ["key", "place"], "left").withColumns({"keep": F.when(F.col("own_n").isNull(), F.col("keep")).otherwise(F.col("own_keep")), "n": F.coalesce("own_n", "n")})
     return rows.select(
-        F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("place") == F.col("keep.place")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
+        F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), (F.col("place") == F.col("keep.place")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
 
