@@ -8,7 +8,7 @@ from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annulus, bpe, exact, lines, mixing, quality, secrets, sharding, simhash, toxicity, vectors, warc
+from . import annulus, bpe, exact, lines, mixing, quality, secrets, sharding, simhash, toxicity, turns, vectors, warc
 from .common import shared_dir, table
 
 #: Folder with the public vocabulary files: that of the installed package, or where such a box keeps them.
@@ -68,11 +68,15 @@ def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(exact.file_stream(spark, sf_dir, "documents"), table(spark, sf_dir, "documents"))
 
 
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_report(turns.damage(table(spark, sf_dir, "conversations")))
+
+
 #: Largest label has few hundred vectors at the driver's sizes: SQL compares all pairs and spreads the smallest id along the links.
 _LINKS = """pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.embedding) = len(b.embedding)
   WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93)"""
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_vectors, op4_toxicity, op5_secrets, op6_bpe, op7_sharding, op8_simhash, op9_lines, op10_warc, op11_annulus, op12_exact)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality, op3_vectors, op4_toxicity, op5_secrets, op6_bpe, op7_sharding, op8_simhash, op9_lines, op10_warc, op11_annulus, op12_exact, op13_turns)}
 
 _SIZES = r"SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS k FROM documents"
 
