@@ -286,9 +286,10 @@ def repaired_turns(turns: DataFrame, table: DataFrame, whole: DataFrame) -> Data
     said = table.where("NOT is_part").select("conv_id", "part", "at", "turn", F.col("role").alias("was"), "h")
     out = kept_turns(table.where("is_part"), whole)
     stay = _meet(out.where("letter <> 'I'"), said, ["conv_id", "part", "at"], "inner")
-    stay = stay.select("conv_id", "turn", F.col("was"), "h", "nth", F.coalesce("role", "was").alias("to"))
-    texts = _hashed(turns.where("copies > 0")).groupBy(*KEYS).agg(F.first("text").alias("text")).withColumnRenamed("role", "was")
-    told = _meet(texts, stay, ["conv_id", "turn", "was", "h"], "inner").select("conv_id", "nth", F.col("to").alias("role"), "text")
+    stay = stay.select(F.struct("conv_id", "turn", F.col("was").alias("role"), "h").alias("key"), "nth", F.coalesce("role", "was").alias("to"))
+    # one struct as key: nulls within it are equal to each other, and the texts are exchanged once for both the grouping and the join
+    texts = _hashed(turns.where("copies > 0")).groupBy(F.struct(*KEYS).alias("key")).agg(F.first("text").alias("text"))
+    told = texts.join(stay, "key").select("key.conv_id", "nth", F.col("to").alias("role"), "text")
     return told.unionByName(out.where("letter = 'I'").select("conv_id", "nth", "role", F.lit("").alias("text")))
 
 
