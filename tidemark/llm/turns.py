@@ -57,7 +57,6 @@ ONE = _matrix({(i, i): (0, "") for i in range(4)})
 CLOSURE = _matrix({(i, i): (0, "") for i in range(4)} | {(0, 2): (INSERT, "I"), (1, 2): (INSERT, "I"), (2, 3): (INSERT, "I"), (3, 2): (INSERT, "I"), (0, 3): (2 * INSERT, "II"), (1, 3): (2 * INSERT, "II")})
 
 
-@lru_cache(100_000)
 def turn_matrix(initial: str, live: bool, truncated: bool, dead: int) -> Matrix:
     """A turn that may stay, if live, then so many that must go, with inserted turns before and after."""
     gone = _matrix({(i, i): (DELETE * dead, "D" * dead) for i in range(4)})
@@ -164,6 +163,7 @@ def chunks(marked: DataFrame, partitions: int | None = None) -> DataFrame:
     empty = dict.fromkeys(names)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lru_cache(100_000)(turn_matrix)  # made in the task: a cached function would be sent by its name only
         part, runs, seen, rows = TaskContext.get().partitionId(), 0, None, []
         fold, at, illegal, head, tail = Fold(), 0, 0, "", ""
         to_batch = lambda: pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -188,7 +188,7 @@ def chunks(marked: DataFrame, partitions: int | None = None) -> DataFrame:
                 else:
                     illegal += n - 1 + (tail + initial not in LEGAL)
                     tail = initial
-                fold.push(turn_matrix(initial if initial in ("s", "u", "a") else "", live_, truncated, n - live_))
+                fold.push(matrix(initial if initial in ("s", "u", "a") else "", live_, truncated, n - live_))
                 if live_:
                     rows.append(empty | {"conv_id": conv, "part": part, "is_part": False, "edge": False, "turn": turn, "role": role, "h": h, "at": at, "n": n})
                 at += n
@@ -288,7 +288,9 @@ def repaired_turns(turns: DataFrame, table: DataFrame, whole: DataFrame) -> Data
     stay = _meet(out.where("letter <> 'I'"), said, ["conv_id", "part", "at"], "inner")
     stay = stay.select(F.struct("conv_id", "turn", F.col("was").alias("role"), "h").alias("key"), "nth", F.coalesce("role", "was").alias("to"))
     # one struct as key: nulls within it are equal to each other, and the texts are exchanged once for both the grouping and the join
-    texts = _hashed(turns.where("copies > 0")).groupBy(F.struct(*KEYS).alias("key")).agg(F.first("text").alias("text"))
+    # (both structs need the same nullability for that, hence the condition)
+    key = F.struct("conv_id", "turn", F.when(F.col("copies") > 0, F.col("role")).alias("role"), "h")
+    texts = _hashed(turns.where("copies > 0")).groupBy(key.alias("key")).agg(F.first("text").alias("text"))
     told = texts.join(stay, "key").select("key.conv_id", "nth", F.col("to").alias("role"), "text")
     return told.unionByName(out.where("letter = 'I'").select("conv_id", "nth", "role", F.lit("").alias("text")))
 
