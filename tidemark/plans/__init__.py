@@ -1,6 +1,6 @@
 """The named queries over the driver's tables, with DuckDB SQL for each that SQL can express."""
 
-from . import commerce, desk, documents, editorial, events, links, listings, matching, pages, records, relational, streams
+from . import commerce, desk, documents, editorial, events, links, listings, matching, names, pages, records, relational, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "commerce", "desk", "documents", "editorial", "events", "links", "listings", "matching", "pages", "records", "relational", "streams"]
+__all__ = ["QUERIES", "SQL", "commerce", "desk", "documents", "editorial", "events", "links", "listings", "matching", "names", "pages", "records", "relational", "streams"]
