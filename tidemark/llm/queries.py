@@ -123,9 +123,9 @@ fixed AS (SELECT arg_min((total - stopped) / rest, rn) AS level FROM levels WHER
 targets AS (SELECT source, source_size, least((source_size * 3)::DOUBLE, level * weight) AS target FROM levels, fixed),
 rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-    ('0x' || substr(md5('mix-1:' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+    ('0x' || substr(md5('mix-1:' || k), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u, row_number() OVER (PARTITION BY k) - 1 AS i
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
-drawn AS (SELECT *, (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT AS copies FROM rated)
+drawn AS (SELECT *, (ceil((i + 1) * rate - u) - ceil(i * rate - u))::BIGINT AS copies FROM rated)
 SELECT doc_id, size, source_size, target, rate, copies, copies * size AS taken FROM drawn""",
     "op7_sharding": r"""
 WITH RECURSIVE rows AS (

@@ -15,7 +15,8 @@ from .common import materialize
 
 #: Rows that the classifiers are fitted on at most: confirmed toxic ones, and ones taken as unlabelled. Those with the smallest hashes of their ids are taken.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000
-#: How many features there may be, and the least number of confirmed toxic texts that hold one.
+#: How many features the fitted model has at most (those that tell most of the sampled toxic texts; a bound on the model, as the
+#: sample's size is, not on what is scored), and the least number of confirmed toxic texts that hold one.
 MAX_FEATURES, MIN_TEXTS = 512, 3
 #: Features are whole words, and beginnings of words of these lengths: many insults share a stem.
 STEMS = (4, 5, 6, 7, 8)

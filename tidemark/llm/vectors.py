@@ -15,8 +15,8 @@ from .components import connected_components
 MIN_COSINE = 0.93
 #: The codebook is fitted on at most so many vectors (those with the smallest hash of their values), in so many rounds.
 SAMPLE, ROUNDS = 20_000, 10
-#: One cell for so many vectors of a label and length, as the sample tells; at most MAX_CELLS cells in all.
-CELL_ROWS, MAX_CELLS = 8192, 4096
+#: A label and length of n vectors, as the sample tells, has sqrt(n) / ROOTS cells, two at least, and one for LEAST of the sample at most.
+ROOTS, LEAST = 16, 5
 #: Rows on each side of one block product.
 BLOCK = 2048
 
@@ -72,7 +72,7 @@ def _block_links(group: pd.DataFrame, min_cosine: float) -> pd.DataFrame:
     return pd.DataFrame({"id": np.concatenate([xi, yi]), "n": np.concatenate([n, np.zeros(len(yi), dtype=np.int64)]), "root": np.concatenate([root_x, root_y])})
 
 
-def vector_groups(vectors: DataFrame, vec_id="vec_id", embedding="embedding", label="label", min_cosine: float = MIN_COSINE, cell_rows: int = CELL_ROWS, block: int = BLOCK) -> DataFrame:
+def vector_groups(vectors: DataFrame, vec_id="vec_id", embedding="embedding", label="label", min_cosine: float = MIN_COSINE, cell_rows: int | None = None, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row; vectors are compared only within one label that isn't null.
 
     Equal vectors of one label (and one number of components) are merged first, so a third of all rows may be one vector.
@@ -109,14 +109,19 @@ def vector_groups(vectors: DataFrame, vec_id="vec_id", embedding="embedding", la
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def codebooks(sample: pd.DataFrame, n: int, cell_rows: int = CELL_ROWS) -> dict[tuple, np.ndarray]:
-    """Centroids by (label, length) from a sample (label, v) of n rows; a group of no more than one cell's rows has none."""
-    books, left = {}, MAX_CELLS
+def codebooks(sample: pd.DataFrame, n: int, cell_rows: int | None = None) -> dict[tuple, np.ndarray]:
+    """Centroids by (label, length) from a sample (label, v) of n rows: two at least, as many as the root of a group's rows tells
+    (ROOTS), or one for so many rows if cell_rows is given.
+
+    Each group has no more than one for LEAST of its sampled rows, so the sample bounds all; a group with a single sampled
+    vector is one cell.
+    """
+    books = {}
     for (label, dim), rows in sample.groupby([sample["label"], sample["v"].map(len)], sort=True):
-        k = min(left, len(rows), math.ceil(len(rows) / len(sample) * n / cell_rows))
-        if k > 1:
-            books[label, dim] = spherical_kmeans(units(rows["v"]), k)
-            left -= k
+        told = len(rows) / len(sample) * n
+        k = min(math.ceil(told / cell_rows), len(rows)) if cell_rows else min(round(math.sqrt(told) / ROOTS), len(rows) // LEAST)
+        if len(rows) > 1:
+            books[label, dim] = spherical_kmeans(units(rows["v"]), max(2, k))
     return books
 
 
@@ -143,11 +148,11 @@ def place(labels: pd.Series, vectors: pd.Series, books: dict[tuple, np.ndarray],
     return pd.DataFrame({"home": of(homes), "visits": [of(v) for v in visits]})
 
 
-def _links_of(merged: DataFrame, min_cosine: float, cell_rows: int, block: int) -> DataFrame:
+def _links_of(merged: DataFrame, min_cosine: float, cell_rows: int | None, block: int) -> DataFrame:
     """(id, n, root) rows of all links among the merged vectors."""
     rows = merged.count()
     sample = merged.orderBy("key").limit(SAMPLE).select(F.col("label").cast("string").alias("label"), "v").toPandas()
-    books = codebooks(sample, rows, cell_rows) if rows > cell_rows else {}
+    books = codebooks(sample, rows, cell_rows) if rows else {}
 
     @F.pandas_udf("home struct<cell:int,ring:int>, visits array<struct<cell:int,ring:int>>")
     def cells(labels: pd.Series, vectors: pd.Series) -> pd.DataFrame:
