@@ -32,9 +32,9 @@ def dense_matrix(t):
 
 
 @query("""WITH b AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 10), y AS (SELECT p_type FROM part GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 10)
-SELECT b.p_brand AS brand, y.p_type AS type FROM b CROSS JOIN y WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = b.p_brand AND p.p_type = y.p_type AND p.p_size > 25)""")
+SELECT b.p_brand AS brand, y.p_type AS type FROM b CROSS JOIN y WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = b.p_brand AND p.p_type = y.p_type AND p.p_size >= 45 AND p.p_retailprice >= 910)""")
 def white_space(t):
-    seen = t("part").where("p_size > 25").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
+    seen = t("part").where("p_size >= 45 AND p_retailprice >= 910").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
     return dense_matrix(t).select("brand", "type").join(seen, ["brand", "type"], "left_anti")
 
 

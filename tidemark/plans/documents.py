@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores, text, urls
 from ..functions.vectors import cosine
 from ..operators import match, rank, upsert
+from .planting import planted, planted_sql, quoted
 from .registry import query
 
 _COLLAPSE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"""
@@ -25,11 +26,19 @@ def pending_stage_rows(t):
     return rank.top(t("documents").join(t("labels"), "doc_id", "left_anti").select("doc_id", "n_chars"), 50, F.col("n_chars").desc_nulls_last(), "doc_id")
 
 
-@query(r"""WITH s AS (SELECT lang, CASE WHEN n = 0 THEN 'stub' WHEN n <= 400 THEN 'stub' WHEN n <= 1500 THEN 'partial' ELSE 'full' END AS status
-  FROM (SELECT lang, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS n FROM documents))
-SELECT lang, status, count(*)::BIGINT AS n FROM s GROUP BY lang, status""")
+#: Phrases of walls behind a text, secrets in it, characters that nobody sees: by document.
+WALLED = ("", " Subscribe to read more", "", " רק למנויים", " Please enable cookies.")
+SECRETS = ("", " see /x?api_key=abc123&a=b", " AIzaSyA0123456789_-", " sk-abcdef0123456789", " Authorization: Bearer abc.def-1", " ?token=t1&KEY=k2 sk-short")
+UNSEEN = ("", "\u200b", "a\u202eb\u2069", "\ufeff\ufeff\u200d", "\u2060")
+_WALLED = " OR ".join(f"contains(lower(t), {quoted(p)})" for p in text.WALL_PHRASES)
+
+
+@query(rf"""WITH p AS (SELECT doc_id, lang, regexp_replace({planted_sql("text", "doc_id", WALLED)}, '^\s+|\s+$', '', 'g') AS t FROM documents),
+s AS (SELECT lang, doc_id % 5 AS kind, CASE WHEN length(t) = 0 THEN 'stub' WHEN {_WALLED} THEN CASE WHEN length(t) <= 1500 THEN 'stub' ELSE 'partial' END WHEN length(t) <= 400 THEN 'stub' WHEN length(t) <= 1500 THEN 'partial' ELSE 'full' END AS status FROM p)
+SELECT lang, kind, status, count(*)::BIGINT AS n FROM s GROUP BY lang, kind, status""")
 def content_status_bands(t):
-    return t("documents").groupBy("lang", text.content_status(F.col("text")).alias("status")).agg(F.count("*").alias("n"))
+    """How much of an article a text is, of texts of which some end in a wall's phrase."""
+    return t("documents").groupBy("lang", (F.col("doc_id") % 5).alias("kind"), text.content_status(planted("text", "doc_id", WALLED)).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies, sha256({_COLLAPSE.format("text")}) AS digest FROM documents GROUP BY digest""")
@@ -74,11 +83,13 @@ def page_visible_text(t):
     return t("pages").select("page_id", F.length("html").cast("long").alias("raw_chars"), F.length(F.trim(F.regexp_replace(bare, r"(<[^>]*>|[ \n\t])+", " "))).cast("long").alias("text_chars"))
 
 
-@query(r"""SELECT doc_id, md5(r) AS digest, (length(r) <> length(text)) AS changed FROM (SELECT doc_id, text,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)([?&](?:key|api_key|token)=)[^&\s"'']+', '\1[REDACTED]', 'g'), 'AIza[0-9A-Za-z_\-]{10,}', '[REDACTED]', 'g'), 'sk-[A-Za-z0-9_\-]{10,}', '[REDACTED]', 'g'), '(?i)(bearer\s+)[A-Za-z0-9._\-]+', '\1[REDACTED]', 'g') AS r FROM documents)""")
+@query(rf"""SELECT doc_id, md5(r) AS digest, (length(r) <> length(text)) AS changed FROM (SELECT doc_id, text,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)([?&](?:key|api_key|token)=)[^&\s"'']+', '\1[REDACTED]', 'g'), 'AIza[0-9A-Za-z_\-]{{10,}}', '[REDACTED]', 'g'), 'sk-[A-Za-z0-9_\-]{{10,}}', '[REDACTED]', 'g'), '(?i)(bearer\s+)[A-Za-z0-9._\-]+', '\1[REDACTED]', 'g') AS r FROM (SELECT doc_id, {planted_sql("text", "doc_id", SECRETS)} AS text FROM documents))""")
 def redact_tokens(t):
+    """Texts with keys and tokens planted in them, blanked."""
+    d = t("documents").select("doc_id", planted("text", "doc_id", SECRETS).alias("text"))
     r = text.redact(F.col("text"))
-    return t("documents").select("doc_id", F.md5(r).alias("digest"), (F.length(r) != F.length("text")).alias("changed"))
+    return d.select("doc_id", F.md5(r).alias("digest"), (F.length(r) != F.length("text")).alias("changed"))
 
 
 @query(r"""SELECT doc_id, length(regexp_replace(text, '[A-Za-z0-9+/]{31,}={0,2}', ' ', 'g')) AS n_left, length(text) - length(regexp_replace(text, '[A-Za-z0-9+/]{31,}={0,2}', ' ', 'g')) AS n_gone FROM documents""")
@@ -87,9 +98,11 @@ def hex_blob_strip(t):
     return t("documents").select("doc_id", left.alias("n_left"), (F.length("text") - left).alias("n_gone"))
 
 
-@query("""SELECT doc_id, length(text) - length(translate(text, chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279) || chr(8206) || chr(8207) || chr(8234) || chr(8235) || chr(8236) || chr(8237) || chr(8238) || chr(8294) || chr(8295) || chr(8296) || chr(8297), '')) AS n_invisible FROM documents""")
+@query(f"""SELECT doc_id, length(text) - length(translate(text, chr(8203) || chr(8204) || chr(8205) || chr(8288) || chr(65279) || chr(8206) || chr(8207) || chr(8234) || chr(8235) || chr(8236) || chr(8237) || chr(8238) || chr(8294) || chr(8295) || chr(8296) || chr(8297), '')) AS n_invisible FROM (SELECT doc_id, {planted_sql("text", "doc_id", UNSEEN)} AS text FROM documents)""")
 def invisible_unicode_flags(t):
-    return t("documents").select("doc_id", (F.length("text") - F.length(text.strip_invisible(F.col("text")))).cast("long").alias("n_invisible"))
+    """How many characters of a text nobody sees."""
+    d = t("documents").select("doc_id", planted("text", "doc_id", UNSEEN).alias("text"))
+    return d.select("doc_id", (F.length("text") - F.length(text.strip_invisible(F.col("text")))).cast("long").alias("n_invisible"))
 
 
 @query("""SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]+'), lambda x: lower(x))))::BIGINT AS n_tokens FROM documents""")

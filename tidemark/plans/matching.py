@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 from ..functions import keys, scores
 from ..operators import rank
 from .links import _EDGES, edges
+from .planting import planted, planted_sql
 from .registry import query
 
 _SITE = "|".join(keys.SITE_PAGES)
 
 
-@query(f"SELECT page_id, regexp_matches(regexp_replace(lower(url), '\\?.*$', ''), '{_SITE}') AS site_page FROM pages")
+#: What is put behind an address, by page.
+PATHS = ("", "/privacy", "/About-Us?a=1", "/story?next=/login", "/de/terms/", "/subscribers-only")
+
+
+@query(f"SELECT page_id, regexp_matches(regexp_replace(lower({planted_sql('url', 'page_id', PATHS)}), '\\?.*$', ''), '{_SITE}') AS site_page FROM pages")
 def boilerplate_pages(t):
-    return t("pages").select("page_id", keys.is_site_page(F.col("url")).alias("site_page"))
+    """Addresses of a site's own pages, by path and not by what a parameter holds."""
+    return t("pages").select("page_id", keys.is_site_page(planted("url", "page_id", PATHS)).alias("site_page"))
 
 
 @query(r"""WITH k AS (SELECT page_id, regexp_replace(trim(url), '[?#].*$', '') AS u FROM pages),
