@@ -205,3 +205,14 @@ def forecast_window(today: Column, least_months: Column, most_months: Column) ->
 def rotating(seed: Column, n: int, k: int) -> Column:
     """k places from 0 to n - 1 in a row, from the seed on, round the end."""
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(seed + i, F.lit(n)).cast("int"))
+
+
+def off_trade(text: Column, negative: tuple[str, ...], defence: tuple[str, ...]) -> Column:
+    """A term of another trade stands in the text and none of defence, each as words of its own; null texts hold none."""
+    return has_word(text, *negative) & ~has_word(text, *defence)
+
+
+def notice_relevance(relevance: Column, penalty: Column) -> Column:
+    """A relevance of 0 to 10 as a share, 0.5 where there is none; 0.2 at most under a penalty."""
+    base = F.coalesce(relevance.cast("double") / 10, F.lit(0.5))
+    return F.when(penalty, F.least(base, F.lit(0.2))).otherwise(base)

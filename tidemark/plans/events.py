@@ -18,11 +18,19 @@ _WEEK = f"ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}'"
 
 _SRC = "json_extract_string(props, '$.k')"
 
+_DAY = "timezone('Asia/Jerusalem', timezone('UTC', ts::TIMESTAMP))::DATE"
+_NOW = f"day >= DATE '{START}' AND day < DATE '{END}'"
+#: Domains that rise: a third, half and a tenth of three kinds happened before the week, one kind only within it.
+_ITEMS = f"""SELECT *, CASE WHEN event_id % 13 = 0 THEN 'flagged' ELSE 'clean' END AS status, CASE WHEN event_id % 17 = 0 THEN event_id - 1 END AS dedup_of,
+  CASE WHEN user_id % 19 = 0 THEN 'out_of_scope' WHEN {_NOW} AND user_id % 10 = 1 THEN 'alert' WHEN NOT ({_NOW}) AND event_id % (CASE event_type WHEN 'click' THEN 10 WHEN 'view' THEN 2 WHEN 'error' THEN 3 ELSE 1 END) <> 0 THEN 'rest' ELSE event_type END AS domain
+  FROM (SELECT *, {_DAY} AS day FROM events)"""
 _SURGE = f"""SELECT CASE WHEN baseline = 0 THEN 'domain_active' ELSE 'domain_surge' END AS kind, subject, n, baseline, CASE WHEN baseline > 0 THEN n / baseline END AS ratio,
   CASE WHEN baseline = 0 THEN 3 WHEN n / baseline >= 4 THEN 5 WHEN n / baseline >= 3 THEN 4 ELSE 3 END AS strength FROM (
-  SELECT event_type AS subject, count(*) FILTER (WHERE {_WEEK})::BIGINT AS n, count(*) FILTER (WHERE ts < TIMESTAMP '{START}') / 4.0::DOUBLE AS baseline FROM events WHERE ts >= TIMESTAMP '{BASE}' AND ts < TIMESTAMP '{END}' GROUP BY event_type)
+  SELECT domain AS subject, count(*) FILTER (WHERE {_NOW})::BIGINT AS n, count(*) FILTER (WHERE day < DATE '{START}') / 4.0::DOUBLE AS baseline FROM ({_ITEMS})
+  WHERE day >= DATE '{BASE}' AND day < DATE '{END}' AND status = 'clean' AND dedup_of IS NULL AND domain <> 'out_of_scope' GROUP BY domain)
 WHERE (baseline = 0 AND n >= 3) OR (baseline >= 2 AND n >= 2 * baseline AND n >= 5)"""
-_CLUSTER = f"""SELECT entity, domain, n, n_sources, least(5, n)::INT AS strength FROM (SELECT user_id::VARCHAR AS entity, event_type AS domain, count(*)::BIGINT AS n, count(DISTINCT {_SRC})::BIGINT AS n_sources FROM events WHERE {_WEEK} GROUP BY 1, 2) WHERE n >= 3 AND n_sources >= 2"""
+_CLUSTER = f"""SELECT entity, domain, n, n_sources, least(5, n)::INT AS strength FROM (SELECT user_id::VARCHAR AS entity, event_type AS domain, count(*)::BIGINT AS n, count(DISTINCT {_SRC})::BIGINT AS n_sources FROM (SELECT *, {_DAY} AS day FROM events) WHERE {_NOW} GROUP BY 1, 2) WHERE n >= 3 AND n_sources >= 2"""
+_CONVERGING = f"""SELECT user_id::VARCHAR AS entity, max(domains)::BIGINT AS domains, least(5, max(domains))::INT AS strength FROM (SELECT user_id, day, count(DISTINCT event_type) AS domains FROM (SELECT *, {_DAY} AS day FROM events) WHERE {_NOW} GROUP BY user_id, day) GROUP BY user_id HAVING max(domains) >= 3"""
 
 
 def source():
@@ -31,7 +39,12 @@ def source():
 
 @query(_SURGE)
 def domain_surge(t):
-    return trends.surges(t("events"), "event_type", "ts", START, END, BASE)
+    """Domains that are new or rise, over the clean items of the report's week by local days."""
+    day, shares = local_day(F.col("ts")), F.when(F.col("event_type") == "click", 10).when(F.col("event_type") == "view", 2).when(F.col("event_type") == "error", 3).otherwise(1)
+    now = (day >= F.lit(START).cast("date")) & (day < F.lit(END).cast("date"))
+    domain = F.when(F.col("user_id") % 19 == 0, "out_of_scope").when(now & (F.col("user_id") % 10 == 1), "alert").when(~now & (F.col("event_id") % shares != 0), "rest").otherwise(F.col("event_type"))
+    items = t("events").withColumns({"domain": domain, "status": F.when(F.col("event_id") % 13 == 0, "flagged").otherwise("clean"), "dedup_of": F.when(F.col("event_id") % 17 == 0, F.col("event_id") - 1)})
+    return trends.surges(trends.counted(items), "domain", "ts", START, END)
 
 
 @query(_CLUSTER)
@@ -39,11 +52,13 @@ def entity_cluster_trend(t):
     return trends.entity_clusters(t("events"), "user_id", "event_type", source(), "ts", START, END)
 
 
-@query(f"""SELECT kind, subject, n::BIGINT AS n, strength FROM (SELECT kind, subject, n, strength FROM ({_SURGE}) UNION ALL SELECT 'entity_cluster', entity || '/' || domain, n, strength FROM ({_CLUSTER}))""")
+@query(f"""SELECT kind, subject, n::BIGINT AS n, strength FROM (SELECT kind, subject, n, strength FROM ({_SURGE}) UNION ALL SELECT 'entity_cluster', entity || '/' || domain, n, strength FROM ({_CLUSTER}) UNION ALL SELECT 'convergence', entity, domains, strength FROM ({_CONVERGING}))""")
 def detect_trends(t):
+    """All detectors: domains that are new or rise, entities with many events of a domain, entities with many domains on a day."""
     a = domain_surge(t).select("kind", "subject", "n", "strength")
     b = entity_cluster_trend(t).select(F.lit("entity_cluster").alias("kind"), F.concat_ws("/", "entity", "domain").alias("subject"), "n", "strength")
-    return a.union(b)
+    c = trends.converging(t("events"), "user_id", "event_type", "ts", START, END).select(F.lit("convergence").alias("kind"), F.col("entity").alias("subject"), F.col("domains").alias("n"), "strength")
+    return a.union(b).union(c)
 
 
 @query("""WITH d AS (SELECT ts::DATE AS day, list_sort(list_distinct(list(event_type))) AS kinds, user_id FROM events GROUP BY ts::DATE, user_id)
@@ -62,7 +77,7 @@ def top_entities_delta(t):
     return rank.top(e.groupBy("user_id").agg(now.alias("n"), (now - before).alias("delta")).where("n > 0"), 10, F.col("n").desc_nulls_last(), F.col("user_id"))
 
 
-@query("""WITH c AS (SELECT event_type, count(*) FILTER (WHERE age <= 7)::BIGINT AS n, count(*) FILTER (WHERE age > 7) / 4.0::DOUBLE AS mean FROM (SELECT event_type, date_diff('day', ts::DATE, DATE '2024-01-31') AS age FROM events) WHERE age BETWEEN 1 AND 35 GROUP BY event_type),
+@query("""WITH c AS (SELECT event_type, count(*) FILTER (WHERE age <= 7)::BIGINT AS n, count(*) FILTER (WHERE age > 7) / 4.0::DOUBLE AS mean FROM (SELECT event_type, date_diff('day', timezone('Asia/Jerusalem', timezone('UTC', ts::TIMESTAMP))::DATE, DATE '2024-01-31') AS age FROM events) WHERE age BETWEEN 1 AND 35 GROUP BY event_type),
 d AS (SELECT *, CASE WHEN mean > 0 THEN 100 * (n - mean) / mean END AS x FROM c) SELECT event_type, n, mean, round(x, 3) AS change, CASE WHEN x > 15 THEN 'up' WHEN x < -15 THEN 'down' ELSE 'flat' END AS direction FROM d""")
 def momentum(t):
     return trends.momentum(t("events"), "event_type", "ts", "2024-01-31")

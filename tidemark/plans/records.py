@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import pages, scores
+from ..functions import gates, pages, scores
 from ..operators import rank, status
+from .planting import planted, planted_sql
 from .registry import query
 
 TODAY = "1998-06-15"
@@ -163,7 +164,16 @@ def retention(t):
     return t("lineitem").where(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).groupBy("l_suppkey", F.year("l_shipdate").alias("year")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_retailprice / 1000 < 1.0 THEN least(p_retailprice / 1000, 0.5) ELSE 0.5 + p_size / 100.0 END AS score, CASE WHEN p_name LIKE 'red%' AND p_type <> 'ECONOMY' THEN 0.2 ELSE 1.0 END AS cap FROM part""")
+#: What a notice says, by part: terms of another trade, beside such of defence or not.
+NOTICES = ("", "medical cameras", "medical cameras for the army", "night sights", "Veterinary optics", "premedical kits")
+
+
+@query(f"""WITH n AS (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size % 11 END AS relevance, lower({planted_sql("p_name", "p_partkey", tuple(" " + x for x in NOTICES))}) AS text FROM part),
+m AS (SELECT *, regexp_matches(text, '(?:^|[^a-z0-9_])(?:medical|veterinary)(?:[^a-z0-9_]|$)') AND NOT regexp_matches(text, '(?:^|[^a-z0-9_])(?:army|navy)(?:[^a-z0-9_]|$)') AS penalty FROM n)
+SELECT p_partkey, penalty, CASE WHEN penalty THEN least(coalesce(relevance / 10.0, 0.5), 0.2) ELSE coalesce(relevance / 10.0, 0.5) END::DOUBLE AS score FROM m""")
 def penalised_relevance(t):
-    ratio = F.col("p_retailprice") / 1000
-    return t("part").select("p_partkey", F.when(ratio < 1.0, F.least(ratio, F.lit(0.5))).otherwise(0.5 + F.col("p_size") / 100.0).alias("score"), F.when(F.col("p_name").startswith("red") & (F.col("p_type") != "ECONOMY"), 0.2).otherwise(1.0).alias("cap"))
+    """A notice's relevance, capped where it speaks of another trade and not of defence."""
+    text = planted("p_name", "p_partkey", tuple(" " + x for x in NOTICES))
+    rows = t("part").select("p_partkey", text.alias("text"), F.when(F.col("p_size") % 7 != 0, F.col("p_size") % 11).alias("relevance"))
+    penalty = gates.off_trade(F.col("text"), ("medical", "veterinary"), ("army", "navy"))
+    return rows.select("p_partkey", penalty.alias("penalty"), gates.notice_relevance(F.col("relevance"), penalty).alias("score"))
