@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import countries, rules, safety
+from ..functions import countries, excerpts, rules, safety
 from ..functions.vectors import cosine
 from ..operators import graph, match, rank, upsert
 from .links import _EDGES, edges
@@ -192,6 +193,40 @@ def rarest_tokens(t):
     return rank.first_per(q, ["item_id"], [(F.col("df") == 0).asc(), F.col("df").asc(), F.col("term").asc()], 8, "nth").select("item_id", "term", "df", "nth")
 
 
+_RAREST = """q AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]+'))) AS term FROM benchmark),
+held AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9-]+'))) AS term FROM documents) GROUP BY term),
+rare AS (SELECT item_id, q.term, row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0) = 0, coalesce(df, 0), q.term) AS nth FROM q LEFT JOIN held ON q.term = held.term)"""
+
+
+@query(rf"""WITH RECURSIVE {_RAREST},
+items AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, item_id FROM (SELECT DISTINCT item_id FROM benchmark)), many AS (SELECT count(*) AS n FROM items),
+d AS (SELECT doc_id, text, lower(text) AS low, length(text) AS size FROM documents),
+cuts AS (SELECT d.doc_id, r.nth, r.term, string_split(d.low, r.term) AS parts, size FROM d, many JOIN items ON items.k = d.doc_id % many.n JOIN rare r ON r.item_id = items.item_id AND r.nth <= 8 WHERE contains(d.low, r.term)),
+parts AS (SELECT doc_id, nth, size, length(term) AS w, len(parts) - 1 AS n, unnest(parts[:-2]) AS part, generate_subscripts(parts[:-2], 1) AS j FROM cuts),
+starts AS (SELECT *, sum(length(part)) OVER o + (j - 1) * w AS p FROM parts WINDOW o AS (PARTITION BY doc_id, nth ORDER BY j)),
+ordered AS (SELECT doc_id, size, greatest(p - 600, 0)::INT AS s, least(size, p + 600)::INT AS e, row_number() OVER (PARTITION BY doc_id ORDER BY j, n, nth, p) AS i FROM starts),
+walk AS (SELECT doc_id, 0::BIGINT AS i, least(1000, size)::INT AS used, [struct_pack(s := 0, e := least(1000, size)::INT)] AS kept FROM d WHERE doc_id IN (SELECT doc_id FROM ordered)
+  UNION ALL SELECT o.doc_id, o.i, CASE WHEN skip THEN w.used ELSE w.used + least(o.e, o.s + 3000 - w.used) - o.s END::INT,
+    CASE WHEN skip THEN w.kept ELSE list_append(w.kept, struct_pack(s := o.s, e := least(o.e, o.s + 3000 - w.used)::INT)) END
+  FROM walk w JOIN ordered o ON o.doc_id = w.doc_id AND o.i = w.i + 1, LATERAL (SELECT w.used >= 3000 OR len(list_filter(w.kept, lambda k: k.s <= o.s AND o.e <= k.e)) > 0 AS skip)),
+ends AS (SELECT doc_id, arg_max(kept, i) AS kept FROM walk GROUP BY doc_id),
+windows AS (SELECT doc_id, k.s AS s, k.e AS e FROM (SELECT doc_id, unnest(kept) AS k FROM ends)),
+breaks AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 40 THEN 0 ELSE 1 END AS new FROM windows),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM breaks),
+merged AS (SELECT doc_id, run, min(s) AS s, max(e) AS e FROM runs GROUP BY doc_id, run),
+told AS (SELECT m.doc_id, left(string_agg(substr(text, s + 1, e - s), chr(10) || '[...]' || chr(10) ORDER BY run), 3000) AS x, count(*) AS n FROM merged m JOIN d ON d.doc_id = m.doc_id GROUP BY m.doc_id)
+SELECT d.doc_id, md5(coalesce(x, left(text, 3000))) AS digest, length(coalesce(x, left(text, 3000)))::INT AS chars, x IS NOT NULL AS anchored FROM d LEFT JOIN told ON d.doc_id = told.doc_id""")
+def relevant_excerpts(t):
+    """Of every document 3,000 characters around the rarest words of one of the passages."""
+    rare = rarest_tokens(t).groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "term"))), lambda x: x["term"]).alias("anchors"))
+    items = rare.withColumn("k", F.row_number().over(Window.orderBy("item_id")) - 1)  # the passages asked about, a row each
+    many = t("benchmark").select("item_id").distinct().count()
+    d = t("documents").withColumn("k", (F.col("doc_id") % many).cast("int")).join(F.broadcast(items), "k", "left")
+    found = excerpts.excerpt(F.col("text"), F.col("anchors"), 3000)
+    hit = F.exists("anchors", lambda a: F.contains(F.lower("text"), a))
+    return d.select("doc_id", F.md5(found).alias("digest"), F.length(found).alias("chars"), F.coalesce(hit, F.lit(False)).alias("anchored"))
+
+
 @query("""WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS nth FROM orders WHERE o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1996-01-01'))
 SELECT o_orderkey, o_orderpriority, nth::INT AS nth FROM r WHERE nth <= 5""")
 def queue_claim(t):
