@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import countries, excerpts, rules, safety
+from ..functions import countries, excerpts, leaves, rules, safety
 from ..functions.vectors import cosine
 from ..operators import graph, match, rank, upsert
 from .links import _EDGES, edges
@@ -369,3 +369,19 @@ def per_group_cap_trimmed(t):
     """Twelve items a domain with their openings: a cap is the feature here."""
     d = t("documents").select("lang", "doc_id", F.substring("text", 1, 400).alias("head"), "n_chars")
     return rank.cap_per_group(d, ["lang"], 12, F.col("n_chars").desc_nulls_last(), F.col("doc_id")).select("lang", "doc_id", F.md5("head").alias("head"))
+
+
+def _nested(k: str) -> str:
+    """The stream's JSON five levels deep, with what a rule for text may not touch beside what it may; {K} stands for k."""
+    return '{"alert": "alert of %s", "rows": [{"cells": [null, 1.50, {"note": "%s: an \\"alert\\"", "deep": [["Alert", true, -0], {"alert": {"alert":"x alert"}}]}]}, "b\\\\", "é alert"], "n": 12e3}' % (k, k)
+
+
+@query(f"""WITH e AS (SELECT event_id, replace('{_nested("{K}")}', '{{K}}', event_type || ' alert ' || coalesce(json_extract_string(props, '$.k'), '')) AS j FROM events),
+m AS (SELECT event_id, j, replace(replace(j, 'alert', 'signal'), '"signal":', '"alert":') AS x FROM e)
+SELECT event_id, md5(x) AS digest, length(x)::INT AS chars FROM m""")
+def deep_string_map(t):
+    """Texts at any depth of a JSON value changed by a rule, names of fields and values of other kinds as they were."""
+    word = F.concat(F.col("event_type"), F.lit(" alert "), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")))
+    nested = F.replace(F.lit(_nested("{K}")), F.lit("{K}"), word)
+    x = leaves.map_strings(nested, lambda s: F.replace(s, F.lit("alert"), F.lit("signal")))
+    return t("events").select("event_id", F.md5(x).alias("digest"), F.length(x).alias("chars"))
