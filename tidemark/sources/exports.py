@@ -71,7 +71,7 @@ def folded(line: str, most: int = LINE_BYTES) -> list[str]:
 
 def to_ical(entries: DataFrame, path: str, product: str = "-//tidemark//calendar//") -> None:
     """Writes entries (see calendar_entries) as calendars, one for each task's file; the folder is replaced. Nothing comes to the driver."""
-    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), r"([\;,])", r"\\$1"), r"\r\n|\r|\n", r"\\n")
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.col(c), r"([\\;,])", r"\\$1"), r"\r\n|\r|\n", r"\\n")
     line = lambda name, value: F.concat(F.lit(f"{name}:"), value)
     day = lambda c: F.date_format(c, "yyyyMMdd")
     lines = F.array_compact(F.array(
