@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html
+from ..sources import feeds
 from .registry import query
 
 #: What is put into a page's article, by page_id % 7.
@@ -69,3 +70,20 @@ def page_handlers(t):
     p = planted(t("pages")).select("page_id", "html", html.stripped(F.col("html"))["html"].alias("clean"))
     left = F.regexp_count("clean", F.lit(r"(?i)<[^>]*\son[a-z]+\s*="))
     return p.select("page_id", F.col("html").rlike(r"(?i)\sonclick=").alias("had_handlers"), left.cast("long").alias("handlers_left"), F.contains("clean", F.lit('id="k"')).alias("id_kept"))
+
+
+_FEEDS = """SELECT c_custkey AS source, c_custkey * 2 + k AS n, 'Entry ' || (c_custkey * 2 + k) || ' & more' AS title, 'http://h' || c_custkey % 9 || '.org/' || (c_custkey * 2 + k) AS url, TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * ((c_custkey * 7 + k) % 40) AS published FROM customer, (SELECT unnest([0, 1]) AS k)"""
+
+
+@query(f"WITH f AS ({_FEEDS}) SELECT source, title, url, published, CASE WHEN source % 2 = 0 THEN 'en' ELSE 'he' END AS lang FROM f WHERE published >= TIMESTAMP '2024-01-31'")
+def feed_entries(t):
+    """Entries of the last ten days of two kinds of feeds, one for each customer."""
+    two = t("customer").select(F.col("c_custkey").alias("source"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).withColumn("n", F.col("source") * 2 + F.col("k"))
+    at = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("source") * 7 + F.col("k")) % 40).cast("int"))
+    title, url = F.concat(F.lit("Entry "), F.col("n"), F.lit(" &amp; more")), F.concat(F.lit("http://h"), F.col("source") % 9, F.lit(".org/"), F.col("n"))
+    rss = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), url, F.lit("</link><pubDate>"), F.date_format(at, "d MMM yyyy"), F.lit(" 00:00:00 GMT</pubDate></item>"))
+    atom = F.concat(F.lit("<entry><title>"), title, F.lit('</title><link rel="self" href="x"/><link href="'), url, F.lit('"/><updated>'), at.cast("string"), F.lit("T00:00:00Z</updated></entry>"))
+    entries = two.withColumn("x", F.when(F.col("source") % 2 == 0, rss).otherwise(atom)).groupBy("source").agg(F.array_join(F.collect_list("x"), "").alias("x"))
+    whole = F.when(F.col("source") % 2 == 0, F.concat(F.lit("<rss><channel><language>en-us</language>"), "x", F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xml:lang="he">'), "x", F.lit("</feed>")))
+    found = feeds.feed(entries.select("source", whole.alias("raw")), "raw", 10, "2024-02-10 00:00:00")
+    return found.select("source", "title", "url", F.col("published").cast("timestamp_ntz").alias("published"), "lang")

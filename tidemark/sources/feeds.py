@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 RSS = "channel struct<item: array<struct<title: string, link: string, guid: string, pubDate: string, description: string>>>"
 SITEMAP = "url array<struct<loc: string, lastmod: string>>"
+#: A feed of either kind: RSS has a channel, Atom has entries.
+FEED = (
+    "channel struct<language: string, item: array<struct<title: string, link: string, guid: string, pubDate: string, date: string, description: string, encoded: string>>>, _lang string, "
+    "entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, id: string, updated: string, published: string, summary: string, content: string>>"
+)
+NEWS_MAP = "url array<struct<loc: string, lastmod: string, news: struct<title: string, publication_date: string>>>"
+XML = {"mode": "PERMISSIVE", "ignoreNamespace": "true"}
 NOTICES = "notices array<struct<ND: string, TI: map<string, string>, PD: string>>"
 RELEASES = "releases array<struct<id: string, ocid: string, date: string, tag: array<string>, tender: struct<title: string, description: string, tenderPeriod: struct<endDate: string>>, buyer: struct<id: string, name: string>>>"
 
@@ -23,6 +30,53 @@ def rss(df: DataFrame, raw: str) -> DataFrame:
     return items.select(F.col("i.title").alias("title"), F.coalesce("i.link", "i.guid").alias("url"), F.col("i.description").alias("summary"), mail_date(F.col("i.pubDate")).alias("published"))
 
 
+def iso_date(text: Column) -> Column:
+    """The instant of an ISO date with or without time, zone and fractions; without a zone it is UTC. Null if it is none."""
+    t = F.regexp_replace(F.trim(text), "[Zz]$", "+00:00")
+    zoned = t.rlike(r"T.*[+-]\d\d:?\d\d$")
+    return F.try_to_timestamp(F.when(zoned, t).when(t.contains("T"), F.concat(t, F.lit("+00:00"))).otherwise(F.concat(t, F.lit("T00:00:00+00:00"))))
+
+
+def recent(published: Column, since_days: int | None, now: str | None = None) -> Column:
+    """True for what is no older than so many days, and for what has no date: better fetched twice than lost."""
+    if since_days is None:
+        return F.lit(True)
+    at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    return published.isNull() | (published >= at - F.make_dt_interval(F.lit(since_days)))
+
+
+def feed(df: DataFrame, raw: str, since_days: int | None = None, now: str | None = None) -> DataFrame:
+    """title, url, summary, published, lang of each entry of RSS and Atom feeds, with the other columns of df.
+
+    An entry's address is its link (in Atom the first that is an alternate or has no kind, else the first), else its id where that is an
+    address; entries without one are left out. The language is that of the feed, without its country. Malformed feeds give no rows.
+    """
+    others = [c for c in df.columns if c != raw]
+    f = F.from_xml(raw, FEED, XML)
+    alternate = lambda links: F.coalesce(F.get(F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"], F.get(links, F.lit(0))["_href"])
+    web = lambda c: F.when(c.startswith("http"), c)
+    lang = lambda c: F.lower(F.split_part(c, F.lit("-"), F.lit(1)))
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    entry = lambda title, url, summary, published, language: F.struct(filled(title).alias("title"), filled(url).alias("url"), filled(summary).alias("summary"), published.alias("published"), lang(language).alias("lang"))
+    rss_ = F.transform(f["channel"]["item"], lambda i: entry(i["title"], F.coalesce(filled(i["link"]), web(i["guid"])), F.coalesce(i["description"], i["encoded"]), F.coalesce(mail_date(i["pubDate"]), iso_date(i["date"])), f["channel"]["language"]))
+    atom = F.transform(f["entry"], lambda i: entry(i["title"], F.coalesce(alternate(i["link"]), web(i["id"])), F.coalesce(i["summary"], i["content"]), iso_date(F.coalesce(i["published"], i["updated"])), f["_lang"]))
+    rows = df.select(*others, F.explode(F.coalesce(rss_, atom)).alias("e")).select(*others, "e.*")
+    return rows.where(F.col("url").isNotNull() & recent(F.col("published"), since_days, now))
+
+
+def news_map(df: DataFrame, raw: str, prefix: str = "", since_days: int | None = None, now: str | None = None) -> DataFrame:
+    """url, title and published of a site map's addresses whose path begins with prefix, with the other columns of df.
+
+    The day is that of the news extension where there is one, else of the last change. A map of maps gives no rows.
+    """
+    others = [c for c in df.columns if c != raw]
+    u = df.select(*others, F.explode(F.from_xml(raw, NEWS_MAP, XML)["url"]).alias("u"))
+    url = F.nullif(F.trim("u.loc"), F.lit(""))
+    rows = u.select(*others, url.alias("url"), F.nullif(F.trim("u.news.title"), F.lit("")).alias("title"), F.coalesce(iso_date(F.col("u.news.publication_date")), iso_date(F.col("u.lastmod"))).alias("published"))
+    path = F.coalesce(F.regexp_extract("url", r"^[^/]*//[^/]*(/[^?#]*)?", 1), F.lit(""))
+    return rows.where(F.col("url").isNotNull() & path.startswith(prefix) & recent(F.col("published"), since_days, now))
+
+
 def sitemap(df: DataFrame, raw: str, prefix: str = "") -> DataFrame:
     """url and the day it was changed, of addresses whose path begins with prefix."""
     urls = df.select(F.explode(F.from_xml(raw, SITEMAP, {"mode": "PERMISSIVE"})["url"]).alias("u"))
