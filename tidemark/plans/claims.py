@@ -86,7 +86,7 @@ SAID = " In 1987 Ghost Optics of Acme paid $7,654,321 to Ghost Widget Works."
 
 @query(rf"""WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 2 = 0 THEN '{SAID}' ELSE '' END AS text,
   regexp_replace(trim(regexp_extract(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '^[^.!?]{{1,200}}')), '[$€₪()0-9]', '', 'g') AS opening FROM documents),
-m AS (SELECT *, lower(text) AS low, trim('We saw: ' || lower(opening) || '.') AS said FROM d)
+m AS (SELECT *, lower(text) AS low, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('We saw: ' || lower(opening) || '.', '\s+([.,:;!?])', '\1', 'g'), ',\s*,', ',', 'g'), ',\s*\.', '.', 'g'), '[ \t]{{2,}}', ' ', 'g')) AS said FROM d)
 SELECT doc_id, said || CASE doc_id % 5
     WHEN 0 THEN CASE WHEN contains(low, 'ghost') AND contains(low, 'widget') AND contains(low, 'works') THEN ' Ghost Widget Works has bought it all.' ELSE '' END
     WHEN 1 THEN CASE WHEN regexp_matches(text, '(?:^|[^0-9])1987(?:[^0-9]|$)') THEN ' It closed in 1987.' ELSE '' END
