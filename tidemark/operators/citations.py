@@ -33,27 +33,23 @@ def check_citations(drafts: DataFrame, registry: DataFrame) -> DataFrame:
     drafts: draft, section (unique within a draft, its order), text. registry: draft, n (text of a number): what a draft may cite.
     uncited: it says something checkable and cites nothing. bad_refs: the cited numbers that aren't in the registry, in order.
     repeats: the first section of the draft with the same sentence, if that is an earlier one; sentences of less than four
-    words don't count, nor does a repetition within a section after the first. Numbers meet the registry in an equi-join; the
-    first section of a sentence is a minimum, taken before it is exchanged, so a sentence that very many sections share is no
-    one task's work. Null texts have no sentences; a draft without registry rows may cite nothing.
+    words don't count, nor does a repetition within a section after the first. Sentences are cut, numbered and judged within
+    their row. A draft's registry comes to its sections as one array, so it is bounded by what one draft may cite. The first section
+    of a sentence is a minimum, taken before it is exchanged, so a sentence that very many sections share is no one task's work.
+    Null texts have no sentences; a draft without registry rows may cite nothing.
     """
-    keyed = drafts.withColumn("_k", F.struct("draft", "section"))
-    rows = sentences(keyed, "_k", "text").select("_k.draft", "_k.section", "nth", "sentence", s.references(F.col("sentence")).alias("refs"), s.repeat_key(F.col("sentence")).alias("key"))
-    rows = rows.withColumn("hash", F.md5(F.col("key").cast("binary")))
-    first = rows.where("key IS NOT NULL").groupBy(F.col("draft").alias("d"), F.col("hash").alias("h")).agg(F.min("section").alias("first"))
-    own = Window.partitionBy("draft", "section", "hash").orderBy("nth")
-    rows = rows.withColumn("again", F.col("hash").isNotNull() & (F.row_number().over(own) > 1))
-    rows = rows.join(first, F.col("draft").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
-    cited = rows.select("draft", "section", "nth", F.posexplode("refs").alias("i", "ref"))
-    known = _small(registry.select(F.col("draft").alias("r"), F.col("n").cast("string").alias("n")).distinct())
-    bad = cited.join(known, F.col("draft").eqNullSafe(F.col("r")) & (F.col("ref") == F.col("n")), "left_anti")
-    bad = bad.groupBy(F.col("draft").alias("bd"), F.col("section").alias("bs"), F.col("nth").alias("bn")).agg(F.array_sort(F.collect_list(F.struct("i", "ref"))).alias("bad"))
-    rows = rows.join(bad, F.col("draft").eqNullSafe(F.col("bd")) & F.col("section").eqNullSafe(F.col("bs")) & (F.col("nth") == F.col("bn")), "left")
-    wrong = F.coalesce(F.transform("bad", lambda x: x["ref"]), F.array().cast("array<string>"))
-    return rows.select(
-        "draft", "section", "nth", "sentence", (factual(F.col("sentence")) & (F.size("refs") == 0)).alias("uncited"), wrong.alias("bad_refs"),
-        F.when(~F.col("again") & (F.col("first") < F.col("section")), F.col("first")).alias("repeats"),
-    )
+    said = F.filter(F.transform(s.split(F.col("text")), s.bare), lambda x: x != "")
+    numbers = _small(registry.groupBy(F.col("draft").alias("r")).agg(F.collect_set(F.col("n").cast("string")).alias("may")))
+    able = drafts.join(numbers, F.col("draft").eqNullSafe(F.col("r")), "left").withColumn("may", F.coalesce("may", F.array().cast("array<string>")))
+    hashed = able.select("draft", "section", "may", said.alias("said")).withColumn("h", F.transform("said", lambda x: F.unhex(F.md5(s.repeat_key(x).cast("binary")))))
+    judged = F.transform("said", lambda x, i: F.struct(
+        x.alias("sentence"), F.get(F.col("h"), i).alias("hash"), (F.array_position("h", F.get(F.col("h"), i)) == i + 1).alias("first_here"),
+        (factual(x) & ~x.rlike(s.REFERENCE)).alias("uncited"), F.filter(s.references(x), lambda r: ~F.array_contains("may", r)).alias("bad_refs"),
+    ))
+    rows = hashed.select("draft", "section", F.posexplode(judged).alias("nth", "x")).select("draft", "section", "nth", "x.*")
+    first = rows.where("hash IS NOT NULL").groupBy(F.col("draft").alias("d"), F.col("hash").alias("h")).agg(F.min("section").alias("first"))
+    met = rows.join(first, F.col("draft").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
+    return met.select("draft", "section", "nth", "sentence", "uncited", "bad_refs", F.when(F.col("first_here") & (F.col("first") < F.col("section")), F.col("first")).alias("repeats"))
 
 
 def draft_verdicts(checked: DataFrame) -> DataFrame:
