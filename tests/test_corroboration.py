@@ -43,3 +43,18 @@ def test_a_sweep_equals_records_anew(spark):
         ids = events.where(which).select(F.col("event_id").alias("id"))
         state = spark.createDataFrame(c.sweep(state, *outlets(now), ids).collect(), state.schema)
         assert told(state) == told(c.records(*outlets(now)))
+
+
+def test_common_names_count_only_among_three(spark):
+    rows = [(1, "a.com", ["NATO", "idf", "Sigma"]), (2, "b.com", ["NATO", "idf", "Sigma"]), (3, "c.com", ["NATO", "Sigma"]), (4, "d.com", ["Sigma", None, "Elbit"]), (5, "e.com", ["Elbit", "Elbit", "Sigma", None])]
+    items = spark.createDataFrame([(i, h, "eo", day(0), e, None, False, True) for i, h, e in rows], ITEM)
+    events = spark.createDataFrame([(i, "award", "Greece", " G ", 5.0) for i, *_ in rows], EVENT)
+    assert sorted(tuple(r) for r in c.pairs(items, events).collect()) == [(1, 2), (2, 1), (4, 5), (5, 4)]
+
+
+def test_a_sweep_reckons_records_once(spark):
+    """What a change touches is written before three steps read it: the plan of the result holds no join of events with events but its own."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    state = c.records(*outlets(events.where("event_id % 10 < 9")))
+    swept = c.sweep(state.sparkSession.createDataFrame(state.collect(), state.schema), *outlets(events), events.where("event_id % 10 = 9").select(F.col("event_id").alias("id")))
+    assert len([p for p in swept.inputFiles() if "/touched/" in p]) > 0

@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import same_event, shared_distinctive
+from ..functions.keys import COMMON_NAMES, shared_distinctive
+from ..functions.scores import amounts_close
+from ..sources.shared import written
 from .dictionary import _small
 
 #: Days on either side within which another item may bear one out.
@@ -23,25 +25,29 @@ def _plain(c: str) -> Column:
 
 def _event_keys(events: DataFrame, both_sides: bool) -> DataFrame:
     """(item_id, kind, customer, program, amount, key): what events of the same may share; an amount has a key for its step of a logarithmic
-    scale, and on one side for the steps beside it, so close amounts always share one."""
+    scale, and on one side for the steps beside it, so close amounts always share one. Names are trimmed and lower-cased, blank ones null."""
     step = F.floor(F.log(F.abs("amount")) / STEP)
     steps = F.array(step - 1, step, step + 1) if both_sides else F.array(step)
     # an amount of 0 is close to 0 only
     amounts = F.when(F.col("amount") == 0, F.array(F.lit("a:0"))).when(F.col("amount").isNotNull(), F.transform(steps, lambda s: F.concat(F.lit("a:"), s.cast("string"))))
-    named = F.array_compact(F.array(F.concat(F.lit("c:"), _plain("customer")), F.concat(F.lit("p:"), _plain("program"))))
+    told = events.where("kind <> ''").withColumns({"customer": _plain("customer"), "program": _plain("program")})
+    named = F.array_compact(F.array(F.concat(F.lit("c:"), "customer"), F.concat(F.lit("p:"), "program")))
     keys = F.concat(named, F.coalesce(amounts, F.array().cast("array<string>")))
-    rows = events.where("kind <> ''").withColumn("key", F.explode(F.array_distinct(keys)))
-    return rows.select("item_id", "kind", "customer", "program", "amount", "key")
+    return told.withColumn("key", F.explode(F.array_distinct(keys))).select("item_id", "kind", "customer", "program", "amount", "key")
 
 
-def pairs(items: DataFrame, events: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """(id, other) of items that bear each other out, once for each id in `of` (a column id; without it for all).
+def _twos(entities: Column) -> Column:
+    """(one, two, common) for every two different names of an array: whether one of them is too common to tell two items apart.
 
-    items: id (unique), host, domain, at, entities (array), dedup_of. Both are at most 7 days apart and of different hosts (a null host is no one's).
-    Either one is a duplicate of the other or both of a third; or they are of one domain, share two distinctive entities, and tell
-    of the same event. Rows meet in equi-joins on (root, week) and (domain, kind, key, week), of which the side of `of` is as small as that; the
-    exact rules are judged on what met. Items without a time or domain bear out nothing.
+    Two items share two names that count if they share two of which none is common, or three names of any kind.
     """
+    names = F.array_sort(F.array_distinct(F.array_compact(entities)))
+    common = lambda n: F.lower(F.trim(n)).isin(*COMMON_NAMES)
+    return F.flatten(F.transform(names, lambda a, i: F.transform(F.slice(names, i + 2, F.size(names)), lambda b: F.struct(a.alias("one"), b.alias("two"), (common(a) | common(b)).alias("common")))))
+
+
+def _met(items: DataFrame, events: DataFrame, of: DataFrame | None) -> DataFrame:
+    """pairs(), each as often as it was found; who groups them by id needs no exchange before that."""
     able = items.where("at IS NOT NULL AND domain IS NOT NULL").withColumn("root", F.coalesce("dedup_of", "id")).withColumn("t", F.unix_micros(F.col("at").cast("timestamp")))
     able = able.withColumn("week", F.floor(F.col("t") / (WEEK * 1_000_000)))
     mine = able if of is None else able.join(_small(of.select("id").distinct()), "id", "left_semi")
@@ -52,12 +58,31 @@ def pairs(items: DataFrame, events: DataFrame, of: DataFrame | None = None) -> D
     apart = (F.col("id") != F.col("other")) & (F.abs(F.col("t_a") - F.col("t_b")) <= WEEK * 1_000_000) & ~F.coalesce(F.col("host_a") == F.col("host_b"), F.lit(False))
     copies = left.join(right, ["root", "week"]).where(apart).select("id", "other")
     fields = ("kind", "customer", "program", "amount")
-    side = lambda rows, i, s, wide: rows.join(_event_keys(events, wide).select(F.col("item_id").alias(i), "key", *(F.col(f).alias(f"{f}_{s}") for f in fields)), i)
-    a = side(left.drop("root"), "id", "a", True).withColumnsRenamed({"domain_a": "domain", "kind_a": "kind"})
-    b = side(right.drop("root"), "other", "b", False).withColumnsRenamed({"domain_b": "domain", "kind_b": "kind"})
-    met = a.join(b, ["domain", "kind", "key", "week"]).where(apart & (F.size(shared_distinctive(F.col("entities_a"), F.col("entities_b"))) >= 2))
-    told = same_event((F.col("kind"), F.col("kind")), *((F.col(f"{f}_a"), F.col(f"{f}_b")) for f in ("customer", "program", "amount")))
-    return copies.unionByName(met.where(told).select("id", "other")).distinct()
+
+    def side(rows: DataFrame, i: str, s: str, wide: bool) -> DataFrame:
+        told = _event_keys(events, wide).select(F.col("item_id").alias(i), "key", *(F.col(f).alias(f"{f}_{s}") for f in fields))
+        twos = rows.drop("root").select("*", F.inline(_twos(F.col(f"entities_{s}"))))
+        # names are compared whole only where one of the two is common
+        return twos.withColumn(f"entities_{s}", F.when(F.col("common"), F.col(f"entities_{s}"))).join(told, i)
+
+    a = side(left, "id", "a", True).withColumnsRenamed({"domain_a": "domain", "kind_a": "kind"})
+    b = side(right, "other", "b", False).withColumnsRenamed({"domain_b": "domain", "kind_b": "kind"}).drop("common")
+    three = F.size(shared_distinctive(F.col("entities_a"), F.col("entities_b"))) >= 2
+    met = a.join(b, ["domain", "kind", "key", "one", "two", "week"]).where(apart & (~F.col("common") | three))
+    same = [F.coalesce(F.col(f"{f}_a") == F.col(f"{f}_b"), F.lit(False)) for f in ("customer", "program")]
+    close = F.coalesce(amounts_close(F.col("amount_a"), F.col("amount_b")), F.lit(False))
+    return copies.unionByName(met.where(same[0] | same[1] | close).select("id", "other"))
+
+
+def pairs(items: DataFrame, events: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(id, other) of items that bear each other out, once for each id in `of` (a column id; without it for all).
+
+    items: id (unique), host, domain, at, entities (array), dedup_of. Both are at most 7 days apart and of different hosts (a null host is no one's).
+    Either one is a duplicate of the other or both of a third; or they are of one domain, share two distinctive entities, and tell
+    of the same event. Rows meet in equi-joins on (root, week) and (domain, kind, key, two entities, week), of which the side of `of` is as
+    small as that; the exact rules are judged on what met. Items without a time or domain bear out nothing.
+    """
+    return _met(items, events, of).distinct()
 
 
 def records(items: DataFrame, events: DataFrame, of: DataFrame | None = None) -> DataFrame:
@@ -67,7 +92,7 @@ def records(items: DataFrame, events: DataFrame, of: DataFrame | None = None) ->
     """
     mine = items.where("in_scope")
     mine = mine if of is None else mine.join(_small(of.select("id").distinct()), "id", "left_semi")
-    found = pairs(items, events, of).groupBy("id").agg(F.array_sort(F.collect_list("other")).alias("others"))
+    found = _met(items, events, of).groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("others"))
     joined = mine.select("id", "at", "domain", "official").join(found, "id", "left").withColumn("others", F.coalesce("others", F.array().cast(found.schema["others"].dataType)))
     unknown, n = F.col("at").isNull() | F.col("domain").isNull(), F.size("others")
     status = F.when(unknown, "unknown").when(n > 0, "corroborated").when(F.col("official"), "official_primary").otherwise("single_source")
@@ -83,5 +108,5 @@ def sweep(state: DataFrame, items: DataFrame, events: DataFrame, changed: DataFr
     ids = changed.select("id").distinct()
     before = state.select("id", F.explode("others").alias("o")).join(_small(ids.withColumnRenamed("id", "o")), "o", "left_semi").select("id")
     now = pairs(items, events, ids).select(F.col("other").alias("id"))
-    touched = ids.unionByName(before).unionByName(now).distinct()
+    touched = written(ids.unionByName(before).unionByName(now).distinct(), "touched")
     return state.join(_small(touched), "id", "left_anti").unionByName(records(items, events, touched))
