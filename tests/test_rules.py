@@ -204,3 +204,10 @@ def test_least_id_within_seconds(spark):
                     break
         found = {x["b"]: (x["a"], x["shared"]) for x in match.shared_within(df, "id", "e", "t", "d", least, 300).collect()}
         assert found == told and len(told) > 3
+
+
+def test_terms_are_counted_where_they_are_cut(spark):
+    from tidemark import plans
+
+    plan = plans.QUERIES["tfidf_terms"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(term" not in plan and plan.count("hashpartitioning") == 1

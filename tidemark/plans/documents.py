@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scores, text, urls
 from ..functions.vectors import cosine
 from ..operators import match, rank, upsert
+from ..operators.dictionary import _small
+from ..sources.shared import written
 from .planting import planted, planted_sql, quoted
 from .registry import query
 
@@ -151,9 +153,10 @@ SELECT doc_id, term, round(tf * (ln((n + 1)::DOUBLE / (df + 1)) + 1), 4) AS weig
 def tfidf_terms(t):
     """The weight of every term of every document."""
     d = t("documents")
-    tokens = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]+"), 0)).alias("term"))
+    # texts meet by id once, so terms are counted where they are cut; only those of all texts are exchanged
+    tokens = d.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9-]+"), 0)).alias("term"))
     tf = tokens.groupBy("doc_id", F.lower("term").alias("term")).agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = _small(written(tf.groupBy("term").agg(F.count("*").alias("df")), "terms"))
     n = d.agg(F.count("*")).scalar()
     weight = F.round(F.col("tf") * (F.log((n + 1).cast("double") / (F.col("df") + 1)) + 1), 4)
     return tf.join(df, "term").select("doc_id", "term", weight.alias("weight"))
