@@ -90,3 +90,13 @@ def test_whole_tables(spark, name):
 def test_no_patents(spark):
     none = spark.createDataFrame([], "id int, classes array<string>, text string")
     assert clusters.clustered(none, TOPICS).count() == 0
+
+
+def test_texts_are_exchanged_once(spark):
+    df = spark.createDataFrame([(1, i, ["a", "b", "a"]) for i in range(9)] + [(1, 9, None)], "part int, id int, terms array<string>")
+    plan = clusters.term_weights(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(part" in plan and plan.count("ENSURE_REQUIREMENTS") == 1  # the latter of the number of texts only
+
+
+def test_groups_need_no_clusters(spark):
+    assert "MapInArrow" not in plans.QUERIES["patent_groups"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clusters
+from ..sources.shared import written
 from .planting import quoted
 from .registry import query
 
@@ -24,9 +25,8 @@ k AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'C' || doc_id % 7 WHEN best.n
 SELECT key, count(*)::BIGINT AS n, min(doc_id) AS first FROM k GROUP BY key""")
 def patent_groups(t):
     """Patents by first class, else by topic, else the rest, and how many."""
-    found = clusters.clustered(_patents(t), TOPICS)
-    key = F.when(F.col("cluster").startswith("rest_"), "rest").otherwise(F.col("cluster"))
-    return found.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    found = clusters.classified(_patents(t), TOPICS)
+    return found.groupBy(F.coalesce("by", F.lit("rest")).alias("key")).agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 @query()
@@ -39,8 +39,8 @@ def patent_clusters(t):
 def text_clusters(t):
     """Documents of each source in at most five clusters, with the terms that name them."""
     texts = t("documents").select(F.col("source").alias("part"), F.col("doc_id").alias("id"), clusters.words(F.col("text")).alias("terms"))
-    weighted = clusters.term_weights(texts)
-    found = clusters.leaders(weighted)
+    weighted = written(clusters.term_weights(texts), "weights")
+    found = written(clusters.leaders(weighted), "clusters")
     sizes = found.groupBy("part", "cluster").agg(F.count("*").alias("n")).withColumnsRenamed({"part": "p", "cluster": "c"})
     named = clusters.label_terms(weighted, found)
     joined = sizes.join(named, F.col("p").eqNullSafe(F.col("part")) & (F.col("c") == F.col("cluster")), "left")
