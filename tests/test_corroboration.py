@@ -53,7 +53,7 @@ def test_common_names_count_only_among_three(spark):
 
 
 def test_a_sweep_reckons_records_once(spark):
-    """What a change touches is written before three steps read it: the plan of the result holds no join of events with events but its own."""
+    """What a change touches is written before the steps that read it."""
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     state = c.records(*outlets(events.where("event_id % 10 < 9")))
     swept = c.sweep(state.sparkSession.createDataFrame(state.collect(), state.schema), *outlets(events), events.where("event_id % 10 = 9").select(F.col("event_id").alias("id")))
