@@ -89,3 +89,18 @@ def test_sentences_with_false_names_and_figures_go(spark, entries):
     assert analysis(spark, entries, text, so_what="It has competitors such as Beta Works and Ghost Optics. It leads rivals like Nobody Inc.")[1] == "It has competitors such as Beta Works. It leads."
     assert analysis(spark, entries, text, "Delta Motor Works, owned by Gamma Holdings, grew. Beta Works, a part of Acme Widget, too. (MWIR Mid Wave) is a gloss.")[0] == "Delta Motor Works, owned by Gamma Holdings, grew. Beta Works, a, too. (MWIR Mid Wave) is a gloss."
     assert analysis(spark, entries, None, "Any Name Here. plain words.", None, None, ["x"]) == ("plain words.", "", [], [])
+
+
+def test_figures_behind_others_and_each_pattern_once(spark):
+    cases = [
+        (5e6, "3 million, then 5 million", True, 11), (3.1e9, "13.1 billion; US$3,1 bn", True, 14), (5e6, "15 million or 5.0 million", False, None), (2e6, "1.2 million", False, None),
+        (12300000.0, "12300 k and $12.3MM", True, 1), (4e6, "4 tons, 4 to 4 million", True, 14), (1234567.0, "of 9,1,234,567 parts", True, 6), (7e6, "12,7 million", False, None),
+    ]
+    df = spark.createDataFrame([(i, a, t) for i, (a, t, *_) in enumerate(cases)], "i int, a double, t string").withColumn("g", g.grounded_amount(F.col("a"), F.col("t")))
+    got = {r["i"]: r["g"] for r in df.collect()}
+    for i, (_, text, grounded, at) in enumerate(cases):
+        assert got[i]["grounded"] == grounded, text
+        if grounded:
+            assert got[i]["evidence"] == text[max(at - 41, 0):].strip()
+    # before, places were written out anew wherever they were used, so that every row compiled each pattern many times
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_instr") <= 10

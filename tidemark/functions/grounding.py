@@ -49,21 +49,49 @@ def grounded_amount(amount: Column, text: Column) -> Column:
     value, text = amount.cast("double"), F.coalesce(text, F.lit(""))
     places = []
     for scale, words in SCALES:
-        reduced = F.round(value / scale, 4)
-        figure = F.replace(F.regexp_replace(F.format_string("%.4f", reduced), r"\.?0+$", ""), F.lit("."), F.lit("[.,]"))
-        alternatives = "|".join(sorted(words, key=len, reverse=True))
-        pattern = F.concat(F.lit(r"(?iU)(?<![\d.,])(?:US\$|USD|\$|€|£|₪)?\s*"), figure, F.lit(rf"\s*(?:-|to|–)?\s*(?:{alternatives})\b"))
-        places.append(F.when((value / scale).between(0.01, 100_000), pattern))
-    places.append(F.when((value == F.floor(value)) & (value >= 1000), _digits(F.floor(value).cast("long").cast("string"))))
-    # [the first match's place, its length] by pattern, then of the first pattern that has one
-    found = F.coalesce(*(F.when((p := F.regexp_instr(text, pattern)) > 0, F.struct(p.alias("start"), F.length(F.regexp_substr(text, pattern)).alias("n"))) for pattern in places))
+        after = rf"\s*(?:-|to|–)?\s*(?:{'|'.join(sorted(words, key=len, reverse=True))})\b"
+        places.append(F.when((value / scale).between(0.01, 100_000), _once(_reduced(value / scale), lambda figure: _figure_at(text, figure, after))))  # noqa: B023
+    whole = F.floor(value).cast("long").cast("string")
+    written = F.struct(F.regexp_instr(text, _digits(whole)).alias("start"), F.length(F.regexp_substr(text, _digits(whole))).alias("n"))
+    told = (value == F.floor(value)) & (value >= 1000) & F.contains(F.translate(text, ",.", ""), whole)
+    places.append(_once(F.when(told, written), lambda w: F.when(w["start"] > 0, w)))
+    # the place and length of the first match, of the first scale that has one
+    idle = value.isNull() | (value <= 0) | (text == "")
+    nothing = F.struct(F.lit(True).alias("grounded"), F.lit(False).alias("valuation"), F.lit("").alias("evidence"))
+    return F.when(idle, nothing).otherwise(_once(F.coalesce(*places), lambda found: _judged(found, text)))
+
+
+def _once(value: Column, body) -> Column:
+    """body(value) with the value reckoned once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _reduced(value: Column) -> Column:
+    return F.regexp_replace(F.format_string("%.4f", F.round(value, 4)), r"\.?0+$", "")
+
+
+def _figure_at(text: Column, figure: Column, after: str) -> Column:
+    """(start, n) of the first place of a figure with one of a scale's words behind it; null without one.
+
+    Few texts hold a figure's digits at all, so that is seen first. Patterns that are the same for all rows are compiled once; a row's
+    own is only needed where the figure stands behind others of its scale.
+    """
+    before = r"(?iU)(?=[\s\d$€£₪Uu])(?<![\d.,])(?:US\$|USD|\$|€|£|₪)?\s*"
+    number = r"[0-9]+(?:[.,][0-9]+)?"
+    numbers = F.regexp_extract_all(text, F.lit(rf"(?iU)(?=[0-9])(?<![\d.,])({number}){after}"), 1)
+    nth = F.array_position(F.transform(numbers, lambda n: F.translate(n, ",", ".")), figure)
+    place = lambda pattern: F.struct(F.regexp_instr(text, pattern).alias("start"), F.length(F.regexp_substr(text, pattern)).alias("n"))
+    every, own = F.lit(before + number + after), F.concat(F.lit(before), F.replace(figure, F.lit("."), F.lit("[.,]")), F.lit(after))
+    at = _once(nth, lambda i: F.when(i == 1, place(every)).when(i > 1, place(own)))
+    return F.when(F.contains(text, figure) | F.contains(text, F.replace(figure, F.lit("."), F.lit(","))), at)
+
+
+def _judged(found: Column, text: Column) -> Column:
     start, end = found["start"], found["start"] + found["n"]
     clip = lambda a, b: F.substring(text, F.greatest(a, F.lit(1)), b - F.greatest(a, F.lit(1)))
     valuation = clip(start - BEFORE, start).rlike(VALUATION) | clip(end, end + AFTER).rlike(VALUATION)
-    idle = value.isNull() | (value <= 0) | (text == "")
-    return F.when(idle, F.struct(F.lit(True).alias("grounded"), F.lit(False).alias("valuation"), F.lit("").alias("evidence"))).otherwise(
-        F.struct(found.isNotNull().alias("grounded"), F.coalesce(valuation, F.lit(False)).alias("valuation"), F.coalesce(F.trim(clip(start - 40, end + 40)), F.lit("")).alias("evidence"))
-    )
+    evidence = F.coalesce(F.trim(clip(start - 40, end + 40)), F.lit(""))
+    return F.struct(found.isNotNull().alias("grounded"), F.coalesce(valuation, F.lit(False)).alias("valuation"), evidence.alias("evidence"))
 
 
 def no_placeholder(name: Column) -> Column:

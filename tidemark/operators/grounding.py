@@ -26,9 +26,10 @@ def surfaces_by_key(entries: DataFrame) -> DataFrame:
 def with_known(rows: DataFrame, key: str, names: str, entries: DataFrame) -> DataFrame:
     """rows with `known`: the entries, as (key, country, surfaces), of the names in an array column; none: an empty array.
 
-    Names meet the dictionary in an equi-join by name_key; only entries that some name has come back to a row. key is unique.
+    Names meet the dictionary in an equi-join by name_key; only entries that some name has come back to a row, and names that none has are
+    exchanged only to meet a large dictionary. key is unique.
     """
-    asked = rows.select(F.col(key).alias("k_"), F.explode(names).alias("n")).select("k_", name_key(F.col("n")).alias("key")).distinct()
+    asked = rows.select(F.col(key).alias("k_"), F.explode(F.array_distinct(F.transform(names, name_key))).alias("key"))
     met = asked.join(_small(surfaces_by_key(entries)), "key").groupBy("k_").agg(F.array_sort(F.collect_list(F.struct("key", "country", "surfaces"))).alias("known"))
     joined = rows.join(met, F.col(key) == F.col("k_"), "left").drop("k_")
     nothing = F.array().cast("array<struct<key:string,country:boolean,surfaces:array<string>>>")
@@ -59,19 +60,22 @@ def ground_events(events: DataFrame, items: DataFrame, entries: DataFrame) -> Da
     appointed = F.col("_kind") == "appointment"
     customer = g.no_placeholder(F.col("customer"))
     keeps_amount = ~F.col("_thin") & F.col("_amount.grounded") & ~F.col("_amount.valuation") & ~appointed
-    keeps_customer = ~F.col("_thin") & g.said(customer, F.col("_lower"), surfaces(customer)) & ~appointed
     parties = F.filter(F.transform(F.coalesce("parties", F.array().cast("array<string>")), g.no_placeholder), lambda p: p.isNotNull() & (p != ""))
-    kept = F.filter(parties, lambda p: g.said(p, F.col("_lower"), surfaces(p)))
+    # each name is looked for once
+    looked = F.transform(parties, lambda p: F.struct(p.alias("name"), g.said(p, F.col("_lower"), surfaces(p)).alias("said")))
+    rows = rows.withColumns({"_looked": looked, "_said": ~F.col("_thin") & g.said(customer, F.col("_lower"), surfaces(customer)) & ~appointed, "_amount_kept": keeps_amount})
+    keeps_customer, keeps_amount = F.col("_said"), F.col("_amount_kept")
     lost = F.concat(
         F.array_compact(F.array(F.when(F.col("amount").isNotNull() & ~keeps_amount, F.lit("amount")), F.when(customer.isNotNull() & ~keeps_customer, F.lit("customer")))),
-        F.transform(F.filter(parties, lambda p: ~g.said(p, F.col("_lower"), surfaces(p))), lambda p: F.concat(F.lit("parties:"), p)),
+        F.transform(F.filter("_looked", lambda p: ~p["said"]), lambda p: F.concat(F.lit("parties:"), p["name"])),
     )
+    kept = F.transform(F.filter("_looked", lambda p: p["said"]), lambda p: p["name"])
     rows = rows.withColumns({"dropped": lost, "_customer": F.when(keeps_customer, customer), "_parties": kept, "_keeps": F.col("amount").isNull() | keeps_amount})
     out = {
         "kind": F.col("_kind"), "amount": F.when(F.col("_keeps"), F.col("amount")), "currency": F.when(F.col("_keeps"), F.col("currency")), "customer": F.col("_customer"),
         "parties": F.col("_parties"), "confidence": F.when((F.size("dropped") > 0) & (F.col("confidence") > CAPPED), F.lit(CAPPED)).otherwise(F.col("confidence")),
     }
-    return rows.withColumns(out).drop("known", "_names", "_id", "_corpus", "_thin", "_lower", "_amount", "_kind", "_customer", "_parties", "_keeps")
+    return rows.withColumns(out).drop("known", "_names", "_id", "_corpus", "_thin", "_lower", "_amount", "_kind", "_customer", "_parties", "_keeps", "_looked", "_said", "_amount_kept")
 
 
 def ground_analyses(records: DataFrame, entries: DataFrame) -> DataFrame:
