@@ -54,3 +54,11 @@ def test_citations(checked):
 def test_verdicts(checked):
     got = {r["draft"]: tuple(r)[1:] for r in citations.draft_verdicts(checked).collect()}
     assert got == {"d": (9, 2, 2, 3, False), "e": (1, 0, 0, 0, True), "f": (1, 0, 0, 0, True), None: (1, 0, 1, 0, False)}
+
+
+def test_texts_are_cut_once(spark):
+    """Before, the first sections of sentences and the sentences themselves were each cut, keyed and judged from the texts."""
+    drafts = spark.createDataFrame([("d", 1, "One two three four. It grew by 3 [1]."), ("d", 2, "One, two three FOUR! One two three four.")], "draft string, section int, text string")
+    found = citations.check_citations(drafts, spark.createDataFrame([("d", 1)], "draft string, n int"))
+    assert "(?<=[.?!:])" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["section"], r["nth"], r["repeats"]) for r in found.collect()) == [(1, 0, None), (1, 1, None), (2, 0, 1), (2, 1, None)]

@@ -41,5 +41,6 @@ def references(sentence: Column) -> Column:
 def repeat_key(sentence: Column) -> Column:
     """What two repeated sentences share: no references, no marks, one blank between words, lower case; null under four words."""
     t = F.regexp_replace(F.regexp_replace(sentence, REFERENCE, ""), r"[^\p{L}\p{N}\p{M}_ \t-\r]", "")
-    key = F.lower(F.regexp_replace(bare(t), rf"{SPACE}+", " "))
-    return F.when(F.size(F.split(key, " ")) >= REPEATED_WORDS, key)
+    # at least so many words; told by the text before it is lowered, and the key is reckoned once
+    collapsed = F.regexp_replace(bare(t), rf"{SPACE}+", " ")
+    return F.get(F.transform(F.array(collapsed), lambda k: F.when(F.size(F.split(k, " ")) >= REPEATED_WORDS, F.lower(k))), F.lit(0))

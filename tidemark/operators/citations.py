@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sentences as s
 from ..functions.prose import factual
+from ..sources.shared import written
 from .dictionary import _small
 
 
@@ -34,7 +35,7 @@ def check_citations(drafts: DataFrame, registry: DataFrame) -> DataFrame:
     uncited: it says something checkable and cites nothing. bad_refs: the cited numbers that aren't in the registry, in order.
     repeats: the first section of the draft with the same sentence, if that is an earlier one; sentences of less than four
     words don't count, nor does a repetition within a section after the first. Sentences are cut, numbered and judged within
-    their row. A draft's registry comes to its sections as one array, so it is bounded by what one draft may cite. The first section
+    their row; the cut texts are written once to the shared folder. A draft's registry comes to its sections as one array, so it is bounded by what one draft may cite. The first section
     of a sentence is a minimum, taken before it is exchanged, so a sentence that very many sections share is no one task's work.
     Null texts have no sentences; a draft without registry rows may cite nothing.
     """
@@ -42,12 +43,14 @@ def check_citations(drafts: DataFrame, registry: DataFrame) -> DataFrame:
     numbers = _small(registry.groupBy(F.col("draft").alias("r")).agg(F.collect_set(F.col("n").cast("string")).alias("may")))
     able = drafts.join(numbers, F.col("draft").eqNullSafe(F.col("r")), "left").withColumn("may", F.coalesce("may", F.array().cast("array<string>")))
     hashed = able.select("draft", "section", "may", said.alias("said")).withColumn("h", F.transform("said", lambda x: F.unhex(F.md5(s.repeat_key(x).cast("binary")))))
+    hashed = written(hashed, "sentences")  # the cut texts serve twice
     judged = F.transform("said", lambda x, i: F.struct(
         x.alias("sentence"), F.get(F.col("h"), i).alias("hash"), (F.array_position("h", F.get(F.col("h"), i)) == i + 1).alias("first_here"),
         (factual(x) & ~x.rlike(s.REFERENCE)).alias("uncited"), F.filter(s.references(x), lambda r: ~F.array_contains("may", r)).alias("bad_refs"),
     ))
     rows = hashed.select("draft", "section", F.posexplode(judged).alias("nth", "x")).select("draft", "section", "nth", "x.*")
-    first = rows.where("hash IS NOT NULL").groupBy(F.col("draft").alias("d"), F.col("hash").alias("h")).agg(F.min("section").alias("first"))
+    keys = hashed.select(F.col("draft").alias("d"), "section", F.explode(F.array_distinct(F.array_compact("h"))).alias("h"))
+    first = keys.groupBy("d", "h").agg(F.min("section").alias("first"))
     met = rows.join(first, F.col("draft").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h")), "left")
     return met.select("draft", "section", "nth", "sentence", "uncited", "bad_refs", F.when(F.col("first_here") & (F.col("first") < F.col("section")), F.col("first")).alias("repeats"))
 
