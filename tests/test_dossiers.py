@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import dossiers
 
 SPEC = "product string, id int, key string, name string, value string"
@@ -52,3 +54,12 @@ def test_a_word_in_every_row_makes_no_pairs(spark):
     df = spark.createDataFrame(rows, SPEC)
     assert sorted((r["a"], r["b"]) for r in dossiers.like_pairs(df, df).collect()) == [(i, i) for i in range(300)]
     assert dossiers.assigned(dossiers.like_pairs(df, df.where("false"))).count() == 0
+
+
+def test_rows_are_made_once(spark):
+    """Before, each of the many uses of a run's rows made them anew from what they come from."""
+    rows = spark.createDataFrame([(1, 1, "Range of it", "10 km")], "product int, id int, name string, value string")
+    made = rows.withColumn("value", F.concat("value", F.lit(" madeonce")))
+    pairs = dossiers.like_pairs(made, made)
+    assert "madeonce" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["a"], r["b"], r["score"]) for r in pairs.collect()] == [(1, 1, 2.0)]

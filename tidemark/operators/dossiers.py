@@ -36,8 +36,10 @@ def like_pairs(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(product, a, b, score): rows of one product whose names are alike by 0.5 (score 1 and more) or else whose values are the same.
 
     previous, current: product, id, name, value. Pairs meet by their rarest tokens only, so a word that every row has makes no
-    pair; each pair is then judged by all tokens. Values without a token are the same if they are equal.
+    pair; each pair is then judged by all tokens. Values without a token are the same if they are equal. Rows are written once to the
+    shared folder, as each side serves many times.
     """
+    previous, current = (written(rows.select("product", "id", "name", "value"), "parameters") for rows in (previous, current))
     pairs = []
     for kind, column, least in (("name", "name", NAME_LIKENESS), ("value", "value", VALUE_LIKENESS)):
         sides = [rows.select("product", "id", tokens(F.col(column)).alias("t")) for rows in (previous, current)]
@@ -78,9 +80,10 @@ def spec_changes(previous: DataFrame, current: DataFrame) -> DataFrame:
     previous, current: product, id (unique in its run), key, name, value, cited. Parameters meet by key; only where the previous
     run has rows but no key at all, by likeness, one to one. A change counts if it is cited: a new one with a value, one whose
     value isn't the same, one whose value is gone. A product without previous rows has no changes. Of equal keys the
-    smallest id counts.
+    smallest id counts. Both runs are written once to the shared folder, whatever they are made of.
     """
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    previous, current = written(previous.select("product", "id", "key", "name", "value"), "parameters"), written(current.select("product", "id", "key", "name", "value", "cited"), "parameters")
     known = previous.groupBy("product").agg(F.max(blank("key") != "").alias("keyed"))
     now = current.join(known, "product")
     before = previous.join(known, "product")
