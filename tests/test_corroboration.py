@@ -1,10 +1,14 @@
 """A sweep after each of three changes beside records reckoned anew; literal cases of the rules."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.keys import COMMON_NAMES
 from tidemark.operators import corroboration as c
+from tidemark.operators import meetings
 from tidemark.plans.corroborated import outlets
 
 ITEM = "id long, host string, domain string, at timestamp, entities array<string>, dedup_of long, official boolean, in_scope boolean"
@@ -58,3 +62,64 @@ def test_a_sweep_reckons_records_once(spark):
     state = c.records(*outlets(events.where("event_id % 10 < 9")))
     swept = c.sweep(state.sparkSession.createDataFrame(state.collect(), state.schema), *outlets(events), events.where("event_id % 10 = 9").select(F.col("event_id").alias("id")))
     assert len([p for p in swept.inputFiles() if "/touched/" in p]) > 0
+
+
+def plain(items, events):
+    """For each id the others that bear it out, by comparing all with all."""
+    names = lambda e: {n for n in e or () if n is not None}
+    rare = lambda n: n.strip().lower() not in COMMON_NAMES
+    close = lambda a, b: a is not None and b is not None and (a == b if a == 0 or b == 0 else abs(a - b) <= 0.1 * max(abs(a), abs(b)))
+    told = {}
+    for i, kind, customer, program, amount in events:
+        if kind:
+            told.setdefault(i, []).append((kind, (customer or "").strip().lower(), (program or "").strip().lower(), amount))
+    found = {i[0]: set() for i in items}
+    for a in items:
+        for b in items:
+            if a[0] == b[0] or None in (a[2], a[3], b[2], b[3]) or abs(a[3] - b[3]) > dt.timedelta(days=7) or a[1] == b[1] is not None:
+                continue
+            shared = names(a[4]) & names(b[4])
+            enough = a[2] == b[2] and (len(shared) >= 3 or sum(map(rare, shared)) >= 2)
+            same = any(x[0] == y[0] and (x[1] == y[1] != "" or x[2] == y[2] != "" or close(x[3], y[3])) for x in told.get(a[0], ()) for y in told.get(b[0], ()))
+            if (a[5] or a[0]) == (b[5] or b[0]) or enough and same:
+                found[a[0]].add(b[0])
+    return {i: sorted(o) for i, o in found.items()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_cells_in_parts_beside_all_with_all(spark, monkeypatch, small):
+    """Few names and amounts, so that nearly every rule meets; small: many cells, whose lists and others are in parts."""
+    r = random.Random(3)
+    if small:
+        monkeypatch.setattr(c, "CELL_MINE", 9)
+        monkeypatch.setattr(c, "CELL_OTHERS", 25)
+        monkeypatch.setattr(meetings, "AT_ONCE", 20)
+    some = ["Elbit", "Sigma", "Orbit", "nato", "IDF ", "DoD", None]
+    items = [
+        (i, r.choice(["a.com", "b.com", "c.com", None]), r.choice(["eo", "eo", "ew", None]), None if i % 17 == 0 else day(r.choice([0, 6, 7, 8, 13, 14, 22])) + dt.timedelta(microseconds=r.randrange(3)),
+         None if i % 19 == 0 else r.choices(some, k=r.randrange(12)), r.randrange(1, 150) if i % 5 == 0 else None, i % 7 == 0, i % 11 != 0)
+        for i in range(1, 150)
+    ]
+    numbers = [0.0, -0.0, 90.0, 100.0, 111.2, -100.0, -95.0, None, 3e-300]
+    events = [(r.randrange(1, 160), r.choice(["award", "award", "test", "", None]), r.choice(["Greece", " greece", "", None, "x"]), r.choice([None, "P", "p ", "q", " "]), r.choice(numbers)) for _ in range(400)]
+    want = plain(items, events)
+    df, told = spark.createDataFrame(items, ITEM), spark.createDataFrame(events, EVENT)
+    found = {x["id"]: (x["status"], x["n"], x["others"]) for x in c.records(df, told).collect()}
+    status = lambda i: "unknown" if None in (i[2], i[3]) else "corroborated" if want[i[0]] else "official_primary" if i[6] else "single_source"
+    assert found == {i[0]: (status(i), len(want[i[0]]), want[i[0]]) for i in items if i[7]}
+    asked = spark.createDataFrame([(i,) for i in range(0, 150, 4)], "id long")
+    assert sorted(map(tuple, c.pairs(df, told, asked).collect())) == sorted((i, o) for i, others in want.items() if i % 4 == 0 for o in others)
+    assert sum(map(len, want.values())) > 150
+
+
+def test_pairs_are_not_exchanged(spark):
+    """What is listed for an item stays in the task that found it: rows are exchanged below it, nothing above it."""
+    plan = c.records(*outlets(spark.read.parquet("/root/testdata/sf0.001/events.parquet")))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+def test_ids_of_any_type(spark):
+    both = ["Elbit", "Sigma"]
+    items = spark.createDataFrame([("b", "a.com", "eo", day(0), both, None, False, True), ("a", "b.com", "eo", day(1), both, None, False, True), ("c", "c.com", "eo", day(2), [], "b", False, True)], ITEM.replace("long", "string"))
+    events = spark.createDataFrame([(i, "award", "Greece", None, None) for i in "ab"], EVENT.replace("long", "string"))
+    assert {x["id"]: x["others"] for x in c.records(items, events).collect()} == {"a": ["b"], "b": ["a", "c"], "c": ["b"]}
