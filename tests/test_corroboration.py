@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.functions.keys import COMMON_NAMES
 from tidemark.operators import corroboration as c
 from tidemark.operators import meetings
@@ -123,3 +124,9 @@ def test_ids_of_any_type(spark):
     items = spark.createDataFrame([("b", "a.com", "eo", day(0), both, None, False, True), ("a", "b.com", "eo", day(1), both, None, False, True), ("c", "c.com", "eo", day(2), [], "b", False, True)], ITEM.replace("long", "string"))
     events = spark.createDataFrame([(i, "award", "Greece", None, None) for i in "ab"], EVENT.replace("long", "string"))
     assert {x["id"]: x["others"] for x in c.records(items, events).collect()} == {"a": ["b"], "b": ["a", "c"], "c": ["b"]}
+
+
+def test_the_sweeps_query_writes_no_lists(spark):
+    """The records before the change are lists of pairs: they are read as they are made."""
+    files = plans.QUERIES["corroboration_sweep"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert any("/touched/" in f for f in files) and not any("/records/" in f for f in files)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corroboration
-from ..sources.shared import written
 from .registry import query
 
 _SQL = """WITH i AS (SELECT event_id AS id, CASE WHEN event_id % 31 <> 0 THEN json_extract_string(props, '$.k') END AS host, CASE WHEN event_id % 37 <> 0 THEN event_type END AS domain,
@@ -50,6 +49,6 @@ def corroboration_sweep(t):
     """The same from the records of the days before the last, and what came on it."""
     events = t("events")
     late = F.col("ts") >= F.lit("2024-01-30").cast("timestamp")
-    state = written(corroboration.records(*outlets(events.where(~late))), "records")
+    state = corroboration.records(*outlets(events.where(~late)))  # not written: lists of pairs are far larger than events
     items, told = outlets(events)
-    return _told(corroboration.sweep(state, items, told, events.where(late).select(F.col("event_id").alias("id"))))
+    return _told(corroboration.sweep(state, items, told, events.where(late).select(F.col("event_id").alias("id")), came=True))
