@@ -116,3 +116,35 @@ def test_a_part_is_read_in_runs(spark, monkeypatch):
     assert len(sizes) >= 8 and max(sizes) < 120
     got = {(x["part"], x["id"]): x["cluster"] for x in clusters.leaders(weighted).collect()}
     assert got == {(p, i): c for p, some in lists.items() for i, c in enumerate(plain(some)[0])}
+
+
+@pytest.mark.parametrize("chars", [None, 90])
+def test_summaries_beside_a_plain_pass(spark, monkeypatch, chars):
+    """Sums that rounds of texts leave to each other; terms of one text, which may name a cluster; empty texts, null parts and equal weights."""
+    import random
+
+    r = random.Random(11)
+    if chars:
+        monkeypatch.setattr(clusters, "RUN_CHARS", chars)
+        monkeypatch.setattr(clusters, "AT_ONCE", 5)
+        monkeypatch.setattr(clusters, "MOST_TASKS", 2)
+    lists = {p: [r.choices([f"t{i}" for i in range(25)] + ["own" + str(r.random())[2:]] * 3, k=r.randrange(7)) for _ in range(n)] for p, n in (("a", 60), ("b", 9), (None, 30), ("c", 1))}
+    rows = [(p, i, " ".join(terms).upper() if i % 2 else None if not terms else " ".join(terms)) for p, some in lists.items() for i, terms in enumerate(some)]
+    texts = spark.createDataFrame(rows, "part string, id int, text string")
+    if chars:
+        bounds = clusters._rounds(texts.select(F.coalesce(F.ascii("part"), F.lit(0)).alias("nth"), "id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars")))
+        assert bounds.agg(F.max("round")).first()[0] >= 3
+    want = []
+    for p, some in lists.items():
+        of, labels = plain(some)
+        want += [(p, c, n, labels[c]) for c, n in Counter(of).items()]
+    key = lambda x: (x[0] or "", x[1])
+    assert sorted(map(tuple, clusters.summaries(texts).collect()), key=key) == sorted(want, key=key)
+    assert any("own" in t for *_, labels in want for t in labels)
+
+
+def test_text_clusters_write_no_weights(spark):
+    """Of each text neither weights nor terms are written, and none is weighed by an exchange of its terms."""
+    df = plans.QUERIES["text_clusters"](spark, SF)
+    assert not any("/weights/" in f for f in df.inputFiles()) and any("/leaders/" in f for f in df.inputFiles())
+    assert clusters.summaries(spark.createDataFrame([], "part string, id long, text string")).collect() == []

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clusters
-from ..sources.shared import written
 from .planting import quoted
 from .registry import query
 
@@ -38,10 +37,5 @@ def patent_clusters(t):
 @query()
 def text_clusters(t):
     """Documents of each source in at most five clusters, with the terms that name them."""
-    texts = t("documents").select(F.col("source").alias("part"), F.col("doc_id").alias("id"), clusters.words(F.col("text")).alias("terms"))
-    weighted = written(clusters.term_weights(texts), "weights")
-    found = written(clusters.leaders(weighted), "clusters")
-    sizes = found.groupBy("part", "cluster").agg(F.count("*").alias("n")).withColumnsRenamed({"part": "p", "cluster": "c"})
-    named = clusters.label_terms(weighted, found)
-    joined = sizes.join(named, F.col("p").eqNullSafe(F.col("part")) & (F.col("c") == F.col("cluster")), "left")
-    return joined.select(F.col("p").alias("source"), F.col("c").alias("cluster"), "n", F.array_join(F.coalesce("terms", F.array()), " ").alias("terms"))
+    found = clusters.summaries(t("documents").select(F.col("source").alias("part"), F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("part").alias("source"), "cluster", "n", F.array_join("terms", " ").alias("terms"))
